@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, secrets, toxicity
+from fathom.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, secrets, toxicity, warc
 from fathom.sources.tables import table
 
 
@@ -31,6 +31,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -40,8 +44,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op7_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op7_quality, op8_warc, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_secret_scan": secrets.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
