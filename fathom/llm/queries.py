@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, secrets, toxicity, warc
+from fathom.llm import bpe, decontaminate, exact_dedup, extract, near_dedup, quality, secrets, toxicity, warc
 from fathom.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=80)
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op7_quality, op8_warc, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op7_quality, op8_warc, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
