@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontaminate, exact_dedup, extract, near_dedup, quality, secrets, toxicity, warc
+from fathom.llm import bpe, decontaminate, exact_dedup, extract, near_dedup, quality, secrets, substring_dedup, toxicity, warc
 from fathom.sources.tables import table
 
 
@@ -31,6 +31,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op7_quality, op8_warc, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op6_substring_dedup, op7_quality, op8_warc, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

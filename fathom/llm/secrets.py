@@ -46,6 +46,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 MAX_STRINGS = 64  # of an expression's exact strings that are followed at once
 
 
@@ -146,45 +147,31 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 def _matches(rule: Rule, rank: int, text: Column) -> Column:
     """The spans of a rule in a text: array of (start, rank, kind, end), in code points, end exclusive.
 
-    Splitting a text by the expression gives what stands between the matches, so running lengths give the offsets.
+    Splitting a text by the expression gives what stands between the matches, so running lengths give the offsets. The arrays
+    are built once and paired, never looked up from inside a lambda, which would build them again for every match.
     """
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
-    counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    steps = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("n"), F.length(F.get(counted, i)).alias("v")))
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["n"]).alias("at"),
-            F.when(
-                s["v"] >= rule.least_chars,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + s["gap"]).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            F.lit(rule.kind).alias("kind"),
-                            (acc["at"] + s["gap"] + s["n"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return folded
+    pattern = _fast(rule)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    if rule.group:
+        counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
+        sizes = F.zip_with(whole, counted, lambda m, v: F.struct(F.length(m).alias("n"), F.length(v).alias("v")))
+    else:
+        sizes = F.transform(whole, lambda m: F.struct(F.length(m).alias("n"), F.length(m).alias("v")))
+    steps = F.zip_with(gaps, sizes, lambda g, s: F.struct(F.length(g).alias("gap"), s["n"].alias("n"), s["v"].alias("v")))
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["n"]
+        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(s["v"] >= rule.least_chars, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda acc: acc["spans"])
 
 
 def _fast(rule: Rule) -> str:
-    """A cheap test that any text with a match of enough length passes: a run of a one-class rule has that length."""
+    """For a rule that is one class of characters, its runs of enough length only: such runs are whole matches either way."""
     m = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
-    return f"{m[1]}{{{rule.least_chars}}}" if m and not rule.group else rule.pattern
+    return f"{m[1]}{{{rule.least_chars},}}" if m and not rule.group else rule.pattern
 
 
 def secret_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,11 +182,10 @@ def secret_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     text = F.coalesce(docs[text_col], F.lit(""))
     parts = []
     for rank, rule in enumerate(rules):
-        none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
         gate = F.rlike(text, F.lit(_fast(rule)))
         if f"_may_{rule.kind}" in flags.columns:
             gate = F.coalesce(F.col(f"_may_{rule.kind}"), docs[id_col].isNull()) & gate
-        parts.append(F.when(gate, _matches(rule, rank, text)).otherwise(none))
+        parts.append(F.when(gate, _matches(rule, rank, text)).otherwise(F.array().cast(SPANS)))
     return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("spans"))
 
 
