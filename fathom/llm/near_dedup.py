@@ -6,9 +6,10 @@
    step, and the steps end as soon as no later rank can win. Ranks of an element are correlated, which lowers the variance.
 3. Slots in bands give buckets. A bucket's members are compared with its smallest member, its centre, never all with all.
    Pairs whose signatures agree too little for the threshold (five standard deviations below it) go no further.
-4. Links are confirmed on the full sets. First each class with the centre it agrees with most, then with its other centres
-   that are not yet in its group. Last, buckets that still hold several groups: each member against the members outside the
-   bucket's largest group, in blocks, so that no link between two groups is missed for want of a common centre.
+4. Links are confirmed on the full sets. First each class with the centre it agrees with most. Then, in buckets that still
+   hold several groups, for a few rounds each class with the class of another group that it agrees with most. Last, where
+   groups are left, each member against the members outside the bucket's largest group, in blocks, so that no link between
+   two groups is missed; the rounds before leave few.
 5. Groups are the connected components of the confirmed links.
 
 A pair at the threshold shares no bucket with probability (1 - t^4)^24, 3e-6 at t = 0.8, and less above it.
@@ -38,6 +39,7 @@ SLOTS = BANDS * ROWS
 CACHE_ENTRIES = 300_000
 CHUNK = 1 << 16
 BLOCK = 256
+ROUNDS = 3
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -218,30 +220,67 @@ def _grouped(nodes: DataFrame, groups: DataFrame, name: str = "node", out: str =
     )
 
 
+def _mixed_buckets(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets that hold several groups, with their group; and of each such bucket its sizes."""
+    known = _grouped(members.select("bucket", "node"), groups)
+    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all")).where("_all > _top.n")
+    return known, mixed
+
+
+def _signatures_of(batches: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(batches.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+
+
+def _nearest(members: DataFrame, groups: DataFrame, classes: DataFrame, least: int, salt: int) -> DataFrame:
+    """(u, v): for each class, the class of another group that its signature agrees with most, among those it meets.
+
+    Members of a bucket meet in blocks of about BLOCK, dealt by salt, so the work grows with the members, not their square.
+    """
+    known, mixed = _mixed_buckets(members, groups)
+    dealt = known.join(mixed.select("bucket", F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks")), "bucket")
+    dealt = dealt.select("bucket", F.pmod(F.xxhash64("node", F.lit(salt)), "_blocks").alias("block"), "node", "comp")
+    held = dealt.join(classes.select("node", "sig"), "node").select("bucket", "block", "node", "comp", "sig")
+
+    def best(t: pa.Table) -> pa.Table:
+        node, comp, sig = t.column("node").to_numpy(), t.column("comp").to_numpy(), _signatures_of(t)
+        u, v, n = [], [], []
+        for i in range(len(node)):
+            agree = np.where(comp != comp[i], (sig == sig[i]).sum(axis=1), -1)
+            j = int(agree.argmax())
+            if agree[j] >= least:
+                u.append(node[i])
+                v.append(node[j])
+                n.append(agree[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "agree": pa.array(n, pa.int32())})
+
+    met = held.groupBy("bucket", "block").applyInArrow(best, "u long, v long, agree int")
+    one = met.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("_b")).select("u", F.col("_b.v").alias("v"))
+    return one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def _apart(members: DataFrame, groups: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs (u, v) of one bucket and different groups whose signatures agree enough.
+    """All pairs (u, v) of one bucket and different groups whose signatures agree enough.
 
-    Each member meets the members outside the bucket's largest group, these in blocks of at most about BLOCK.
+    Each member meets the members outside the bucket's largest group, these in blocks of about BLOCK.
     """
-    known = _grouped(members.select("bucket", "node"), groups)
-    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all")).where("_all > _top.n")
-    mixed = known.join(largest.select("bucket", F.col("_top.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_top.n")) / BLOCK).cast("int").alias("_blocks")), "bucket")
-    held = mixed.join(classes.select("node", "sig"), "node")
+    known, mixed = _mixed_buckets(members, groups)
+    outside_blocks = F.ceil((F.col("_all") - F.col("_top.n")) / BLOCK).cast("int")
+    dealt = known.join(mixed.select("bucket", F.col("_top.comp").alias("_main"), outside_blocks.alias("_blocks")), "bucket")
+    held = dealt.join(classes.select("node", "sig"), "node")
     outside = held.where(F.col("comp") != F.col("_main")).select("bucket", F.pmod(F.xxhash64("node"), "_blocks").cast("int").alias("block"), "node", "comp", "sig", F.lit(1).alias("side"))
     everyone = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "node", "comp", "sig", F.lit(0).alias("side"))
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        side = t.column("side").to_numpy()
-        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        side, node, comp, sig = t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("comp").to_numpy(), _signatures_of(t)
         them = np.flatnonzero(side == 0)
         for k in np.flatnonzero(side == 1):
-            near = them[(comp[them] != comp[k])]
+            near = them[comp[them] != comp[k]]
             near = near[(sig[near] == sig[k]).sum(axis=1) >= least]
             if len(near):
-                u, v = np.minimum(node[near], node[k]), np.maximum(node[near], node[k])
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["u", "v"])
+                u, v = np.maximum(node[near], node[k]), np.minimum(node[near], node[k])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return everyone.union(outside).groupBy("bucket", "block").applyInArrow(over, "u long, v long").distinct()
 
@@ -261,18 +300,20 @@ def grouped_rows(docs: DataFrame, size: int, percent: int, scratch: Scratch) ->
     of_row = rows.select("_id", "_h", "key").join(classes.select("key", "node"), "key").select("_id", "_h", "node")
     sets = scratch.table(shingle_table(docs, of_row, needed, size), "sets")
 
-    best = star.groupBy("u").agg(F.max(F.struct("agree", -F.col("v"))).alias("_b")).select("u", (-F.col("_b.col2")).alias("v"))
-    links = scratch.table(confirmed(best, sets, percent), "links")
-    groups = scratch.table(connected_components(links, scratch), "groups")
-
-    other = _grouped(_grouped(star.join(best, ["u", "v"], "left_anti"), groups, "u", "_cu"), groups, "v", "_cv").where("_cu <> _cv")
-    links = scratch.table(confirmed(other, sets, percent).union(links), "links")
+    best = star.groupBy("u").agg(F.max(F.struct("agree", F.col("v").alias("v"))).alias("_b")).select("u", F.col("_b.v").alias("v"))
+    tested = scratch.table(best, "tested")
+    links = scratch.table(confirmed(tested, sets, percent), "links")
     groups = scratch.table(connected_components(links, scratch), "groups")
-
-    rest = _apart(members, groups, classes, least).join(star.select("u", "v"), ["u", "v"], "left_anti")
-    last = scratch.table(confirmed(rest, sets, percent), "last")
-    if last.limit(1).count():
-        groups = scratch.table(connected_components(last.union(links), scratch), "groups")
+    for salt in range(ROUNDS + 1):
+        pairs = _nearest(members, groups, classes, least, salt) if salt < ROUNDS else _apart(members, groups, classes, least)
+        fresh = scratch.table(pairs.join(tested, ["u", "v"], "left_anti"), "fresh")
+        if not fresh.limit(1).count():
+            continue
+        tested = tested.union(fresh)
+        found = scratch.table(confirmed(fresh, sets, percent), "found")
+        if found.limit(1).count():
+            links = links.union(found)
+            groups = scratch.table(connected_components(links, scratch), "groups")
 
     named = scratch.table(_grouped(classes.select("key", "node", "_least"), groups), "named")
     first = named.groupBy("comp").agg(F.min(F.struct(F.col("_least").isNull(), "_least", "key")).alias("_f"))

@@ -1,7 +1,7 @@
 """Every query of the library against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import duck_rows, rows_of
+from duck import duck_rows, rows_of
 
 from fathom import catalog
 
