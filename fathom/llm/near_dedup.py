@@ -8,8 +8,9 @@
    Pairs whose signatures agree too little for the threshold (five standard deviations below it) go no further.
 4. Links are confirmed on the full sets. First each class with the centre it agrees with most. Then, in buckets that still
    hold several groups, for a few rounds each class with the class of another group that it agrees with most. Last, where
-   groups are left, each member against the members outside the bucket's largest group, in blocks, so that no link between
-   two groups is missed; the rounds before leave few.
+   groups are left, each member against the members outside the bucket's largest group, so that no link between two groups
+   is missed. That goes in tiles of bounded size, each counting what its sets share by one product of matrices; a tile gives
+   no pairs but the links that join groups, fewer than it has members.
 5. Groups are the connected components of the confirmed links.
 
 A pair at the threshold shares no bucket with probability (1 - t^4)^24, 3e-6 at t = 0.8, and less above it.
@@ -39,7 +40,10 @@ SLOTS = BANDS * ROWS
 CACHE_ENTRIES = 300_000
 CHUNK = 1 << 16
 BLOCK = 256
-ROUNDS = 3
+ROUNDS = 2
+TILE = (512, 1024)
+TILE_BYTES = 48 << 20
+COLUMNS = 2048
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -184,7 +188,7 @@ def _least_agreement(percent: int) -> int:
 
 
 def shingle_table(docs: DataFrame, rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the needed nodes; one document row gives a class its text. rows: _id, _h, node."""
+    """(node, shingles, bytes) of the needed nodes; one document row gives a class its text. rows: _id, _h, node."""
     picked = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("_id"), F.col("_h"))).alias("_r"))
     picked = picked.select(F.col("_r._id").alias("_pid"), F.col("_r._h").alias("_ph"), "node")
     held = docs.join(picked, docs["_id"].eqNullSafe(F.col("_pid")) & (docs["_h"] == F.col("_ph"))).select("node", "text")
@@ -192,14 +196,16 @@ def shingle_table(docs: DataFrame, rows: DataFrame, needed: DataFrame, size: int
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_pack(shingle_set(words(t), size)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sizes = pa.array(list(map(len, sets)), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), sizes], names=["node", "shingles", "bytes"])
 
-    return held.mapInArrow(over, "node long, shingles binary")
+    return held.mapInArrow(over, "node long, shingles binary, bytes int")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold: 100 * shared >= percent * all."""
-    held = pairs.select("u", "v").join(sets.toDF("u", "_su"), "u").join(sets.toDF("v", "_sv"), "v").select("u", "v", "_su", "_sv")
+    own = sets.select("node", "shingles")
+    held = pairs.select("u", "v").join(own.toDF("u", "_su"), "u").join(own.toDF("v", "_sv"), "v").select("u", "v", "_su", "_sv")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,30 +265,80 @@ def _nearest(members: DataFrame, groups: DataFrame, classes: DataFrame, least: i
     return one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _apart(members: DataFrame, groups: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """All pairs (u, v) of one bucket and different groups whose signatures agree enough.
-
-    Each member meets the members outside the bucket's largest group, these in blocks of about BLOCK.
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each of b. Elements that only one of all sets has count nowhere."""
+    own = [*a, *b]
+    sizes = np.array([len(s) for s in own])
+    _, index, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(own)), sizes)
+    column = np.cumsum(n > 1) - 1
+    owner, column = owner[n[index] > 1], column[index[n[index] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        has = np.zeros((len(own), COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - start] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out.astype(np.int64)
+
+
+def joining_links(linked: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (row, column), those that join groups that the ones before them have not joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        columns = np.flatnonzero(linked[i])
+        for j in columns[np.unique(comp_b[columns], return_index=True)[1]]:
+            x, y = find(int(comp_a[i])), find(int(comp_b[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(i), int(j)))
+    return out
+
+
+def _apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) that join the groups of one bucket: each member meets the members outside its largest group.
+
+    A tile is a block of those outside with a block of all members; blocks hold TILE members at most on average, fewer of
+    long texts, so a tile has a bounded size however many members the bucket has.
     """
     known, mixed = _mixed_buckets(members, groups)
-    outside_blocks = F.ceil((F.col("_all") - F.col("_top.n")) / BLOCK).cast("int")
-    dealt = known.join(mixed.select("bucket", F.col("_top.comp").alias("_main"), outside_blocks.alias("_blocks")), "bucket")
-    held = dealt.join(classes.select("node", "sig"), "node")
-    outside = held.where(F.col("comp") != F.col("_main")).select("bucket", F.pmod(F.xxhash64("node"), "_blocks").cast("int").alias("block"), "node", "comp", "sig", F.lit(1).alias("side"))
-    everyone = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "node", "comp", "sig", F.lit(0).alias("side"))
+    long = members.join(sets.select("node", "bytes"), "node").groupBy("bucket").agg(F.max("bytes").alias("_most"))
+    most = [F.least(F.lit(n), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES * n / sum(TILE)) / F.greatest("_most", F.lit(1))))) for n in TILE]
+    outside, everyone = (F.ceil(n / m).cast("int") for n, m in zip((F.col("_all") - F.col("_top.n"), F.col("_all")), most))
+    mixed = mixed.join(long, "bucket").select("bucket", F.col("_top.comp").alias("_main"), outside.alias("_outs"), everyone.alias("_alls"))
+    held = known.join(mixed, "bucket").join(sets.select("node", "shingles"), "node")
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        side, node, comp, sig = t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("comp").to_numpy(), _signatures_of(t)
-        them = np.flatnonzero(side == 0)
-        for k in np.flatnonzero(side == 1):
-            near = them[comp[them] != comp[k]]
-            near = near[(sig[near] == sig[k]).sum(axis=1) >= least]
-            if len(near):
-                u, v = np.maximum(node[near], node[k]), np.minimum(node[near], node[k])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    given = ["node", "comp", "shingles"]
+    rows = held.where(F.col("comp") != F.col("_main")).select("bucket", block("_outs").alias("out"), every("_alls").alias("all"), *given, F.lit(1).alias("side"))
+    columns = held.select("bucket", every("_outs").alias("out"), block("_alls").alias("all"), *given, F.lit(0).alias("side"))
+
+    def over(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        parts = [t.filter(pa.array(side == k)) for k in (1, 0)]
+        (na, ca, sa), (nb, cb, sb) = ((p.column("node").to_numpy(), p.column("comp").to_numpy(), [_unpack(x) for x in p.column("shingles").to_pylist()]) for p in parts)
+        shared = shared_counts(sa, sb)
+        total = np.array([len(x) for x in sa], np.int64)[:, None] + np.array([len(x) for x in sb], np.int64)[None, :]
+        own = joining_links((100 * shared >= percent * (total - shared)) & (ca[:, None] != cb[None, :]), ca, cb)
+        u = [max(na[i], nb[j]) for i, j in own]
+        v = [min(na[i], nb[j]) for i, j in own]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return everyone.union(outside).groupBy("bucket", "block").applyInArrow(over, "u long, v long").distinct()
+    return rows.union(columns).groupBy("bucket", "out", "all").applyInArrow(over, "u long, v long").distinct()
 
 
 def grouped_rows(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -304,16 +360,17 @@ def grouped_rows(docs: DataFrame, size: int, percent: int, scratch: Scratch) ->
     tested = scratch.table(best, "tested")
     links = scratch.table(confirmed(tested, sets, percent), "links")
     groups = scratch.table(connected_components(links, scratch), "groups")
-    for salt in range(ROUNDS + 1):
-        pairs = _nearest(members, groups, classes, least, salt) if salt < ROUNDS else _apart(members, groups, classes, least)
-        fresh = scratch.table(pairs.join(tested, ["u", "v"], "left_anti"), "fresh")
-        if not fresh.limit(1).count():
-            continue
+    for salt in range(ROUNDS):
+        fresh = scratch.table(_nearest(members, groups, classes, least, salt).join(tested, ["u", "v"], "left_anti"), "fresh")
         tested = tested.union(fresh)
         found = scratch.table(confirmed(fresh, sets, percent), "found")
-        if found.limit(1).count():
-            links = links.union(found)
-            groups = scratch.table(connected_components(links, scratch), "groups")
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        groups = scratch.table(connected_components(links, scratch), "groups")
+    last = scratch.table(_apart(members, groups, sets, percent), "last")
+    if last.limit(1).count():
+        groups = scratch.table(connected_components(links.union(last), scratch), "groups")
 
     named = scratch.table(_grouped(classes.select("key", "node", "_least"), groups), "named")
     first = named.groupBy("comp").agg(F.min(F.struct(F.col("_least").isNull(), "_least", "key")).alias("_f"))

@@ -70,6 +70,24 @@ def test_equals_brute_force(spark, monkeypatch, seed, size):
     assert got == sorted(brute(rows, size, 80))
 
 
+def test_tiles_alone_find_every_link(spark, monkeypatch):
+    for name, value in (("ROUNDS", 0), ("TILE", (3, 5)), ("COLUMNS", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = chain_corpus(3)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, 4, 80))
+
+
+def test_shared_counts_and_joining_links(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 8)
+    rng = np.random.default_rng(1)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(n)] for n in (7, 11))
+    assert near_dedup.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert near_dedup.shared_counts(a[:1], []).shape == (1, 0)
+    linked = np.ones((2, 3), bool)
+    assert len(near_dedup.joining_links(linked, np.array([1, 2]), np.array([3, 4, 4]))) == 3
+
+
 def test_documents_and_odd_texts(documents, odd_docs, no_docs):
     for docs in (documents, odd_docs):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
