@@ -38,7 +38,7 @@ def in_view(marks: DataFrame, x: tuple[float, float], y: tuple[float, float], mo
 
 
 def without_overlap(marks: DataFrame, size: float, most: int = 18, cluster: str = "cluster") -> DataFrame:
-    """Landmarks placed largest first where none placed before is in the way. marks has been cut to a view's few."""
+    """Of the 100 largest clusters, landmarks placed largest first where none placed before is in the way."""
 
     def place(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: (-r["size"], r[cluster]))
@@ -48,7 +48,7 @@ def without_overlap(marks: DataFrame, size: float, most: int = 18, cluster: str
                 placed.append(r)
         return pa.Table.from_pylist(placed, t.schema)
 
-    return marks.limit(100).groupBy().applyInArrow(place, marks.schema)
+    return marks.orderBy(F.desc("size"), cluster).limit(100).groupBy().applyInArrow(place, marks.schema)
 
 
 def palette(points: DataFrame, cluster: str = "cluster", order: str = "raw_pos") -> DataFrame:

@@ -237,3 +237,11 @@ def test_encoder_plugin_and_layout(spark):
     with pytest.raises(ValueError):
         build_encoder("nothing:1")
     assert pca_layout(encoded(rows, "hash:16", "text")).count() == 9
+
+
+def test_the_largest_of_many_landmarks_are_placed(spark):
+    from fathom.operators import map_view as mv
+
+    rows = [(i, i, float(i), 0.0, 1 + i) for i in range(250)]
+    marks = spark.createDataFrame(rows, "cluster long, idx long, x double, y double, size long").repartition(5)
+    assert sorted(r["cluster"] for r in mv.without_overlap(marks, 0.3).collect()) == list(range(232, 250))
