@@ -71,10 +71,12 @@ def search(index: DataFrame, top_k: int = 100, floor: float = OTHER_FLOOR, vecto
 def search_batch(index: DataFrame, queries: DataFrame, top_k: int, vector: str = "v", idx: str = "idx", block: int = 256) -> DataFrame:
     """The best rows for each of many stated queries (query, q), which go to the rows in blocks of a fixed number.
 
-    A block is scored by one matrix product for each batch of rows, which keeps top_k a query, so little is shuffled.
+    A block is scored by one matrix product for each batch of rows, which keeps top_k a query, the smallest positions among
+    equals at the cut, so little is shuffled.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = index.sparkSession
     kind = index.schema[idx].dataType.simpleString()
@@ -89,8 +91,14 @@ def search_batch(index: DataFrame, queries: DataFrame, top_k: int, vector: str =
                 v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
                 s = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)) @ q.T
                 k = min(top_k, b.num_rows)
-                best = np.argpartition(-s, k - 1, axis=0)[:k]
-                cols = [pa.array(np.repeat(names, k)), b.column(0).take(pa.array(best.T.reshape(-1))), pa.array(np.take_along_axis(s, best, axis=0).T.reshape(-1))]
+                order = pc.sort_indices(b.column(0)).to_numpy()
+                s = s[order]
+                low = np.where(np.isnan(s), np.inf, -s)
+                cut = np.partition(low, k - 1, axis=0)[k - 1]
+                better, equal = low < cut, low == cut
+                keep = better | equal & (equal.cumsum(axis=0) <= k - better.sum(axis=0))
+                of, at = np.nonzero(keep.T)
+                cols = [pa.array(names[of]), b.column(0).take(pa.array(order[at])), pa.array(s[at, of])]
                 yield pa.RecordBatch.from_arrays(cols, names=["query", "idx", "score"])
 
         return over

@@ -245,3 +245,13 @@ def test_the_largest_of_many_landmarks_are_placed(spark):
     rows = [(i, i, float(i), 0.0, 1 + i) for i in range(250)]
     marks = spark.createDataFrame(rows, "cluster long, idx long, x double, y double, size long").repartition(5)
     assert sorted(r["cluster"] for r in mv.without_overlap(marks, 0.3).collect()) == list(range(232, 250))
+
+
+def test_search_batch_keeps_the_smallest_ids_among_equals(spark):
+    from fathom.operators.search import search_batch
+
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(199, -1, -1)]
+    index = spark.createDataFrame(rows, "idx long, v array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query long, q array<double>")
+    got = search_batch(index, queries, 5).collect()
+    assert {(r["query"], r["rank"], r["idx"]) for r in got} == {(q, k, 2 * (k - 1) + 1 - q) for q in (0, 1) for k in range(1, 6)}
