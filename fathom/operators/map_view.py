@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.index import global_index
+from fathom.plans.scratch import Scratch
+
 WALK_LIMIT = 5000
 PALETTE_SIZE = 17
 NOISE_COLOUR = "grey"
@@ -67,14 +70,14 @@ def proximity_order(members: DataFrame, start: int, idx: str = "idx") -> DataFra
     at = members.where(F.col(idx) == start).select(F.col("x").alias("_x"), F.col("y").alias("_y")).limit(1)
     d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
     near = members.crossJoin(F.broadcast(at)).select(idx, d.alias("_d"))
-    return near.select(idx, (F.row_number().over(Window.orderBy("_d", idx)) - 1).alias("step"))
+    return global_index(near, ["_d", idx], Scratch(members.sparkSession, "proximity"), "step").select(idx, F.col("step").cast("int").alias("step"))
 
 
 def greedy_walk(members: DataFrame, starts: DataFrame, cluster: str = "cluster", idx: str = "idx") -> DataFrame:
     """(cluster, idx, step): from the start always on to the nearest point not yet visited.
 
-    Clusters above WALK_LIMIT members are ordered by distance to their start instead, as a window; so no task holds more
-    than WALK_LIMIT rows of a walk.
+    Clusters above WALK_LIMIT members are ordered by distance to their start instead, by ranges of cluster and distance; so no
+    task holds more than WALK_LIMIT rows of a walk, or a whole cluster above it.
     """
     sizes = members.groupBy(cluster).agg(F.count("*").alias("_n"))
     held = members.join(sizes, cluster).join(starts.select(F.col(cluster), F.col(idx).alias("_start")), cluster).select(cluster, idx, "x", "y", "_n", "_start")
@@ -98,7 +101,10 @@ def greedy_walk(members: DataFrame, starts: DataFrame, cluster: str = "cluster",
     long = held.where(F.col("_n") > WALK_LIMIT)
     at = long.where(F.col(idx) == F.col("_start")).select(cluster, F.col("x").alias("_x"), F.col("y").alias("_y"))
     d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-    far = long.join(at, cluster).select(cluster, idx, (F.row_number().over(Window.partitionBy(cluster).orderBy(d, idx)) - 1).alias("step"))
+    scratch = Scratch(members.sparkSession, "walk")
+    far = scratch.table(global_index(long.join(at, cluster).select(cluster, idx, d.alias("_d")), [cluster, "_d", idx], scratch, "_at"), "far")
+    first = far.groupBy(cluster).agg(F.min("_at").alias("_first"))
+    far = far.join(F.broadcast(first), cluster).select(cluster, idx, (F.col("_at") - F.col("_first")).cast("int").alias("step"))
     return short.union(far)
 
 

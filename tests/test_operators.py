@@ -255,3 +255,23 @@ def test_search_batch_keeps_the_smallest_ids_among_equals(spark):
     queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query long, q array<double>")
     got = search_batch(index, queries, 5).collect()
     assert {(r["query"], r["rank"], r["idx"]) for r in got} == {(q, k, 2 * (k - 1) + 1 - q) for q in (0, 1) for k in range(1, 6)}
+
+
+def test_orders_of_large_clusters_are_not_made_in_one_task(spark):
+    rng = random.Random(5)
+    rows = [(c, i, rng.random(), rng.random()) for c in (0, 1) for i in range(c * 6000, (c + 1) * 6000)]
+    points = spark.createDataFrame(rows, "cluster long, idx long, x double, y double").repartition(4)
+    starts = spark.createDataFrame([(0, 0), (1, 6000)], "cluster long, idx long")
+
+    def by_distance(c):
+        own = [r for r in rows if r[0] == c]
+        return [r[1] for r in sorted(own, key=lambda r: (math.hypot(r[2] - own[0][2], r[3] - own[0][3]), r[1]))]
+
+    walk, near = map_view.greedy_walk(points, starts), map_view.proximity_order(points.where("cluster = 1"), 6000)
+    for df in (walk, near):  # rows are numbered within ranges only
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert plan.count("row_number() windowspecdefinition(") == plan.count("row_number() windowspecdefinition(_range#")
+    assert [r["idx"] for r in near.orderBy("step").collect()] == by_distance(1)
+    for c in (0, 1):
+        own = walk.where(F.col("cluster") == c).orderBy("step").collect()
+        assert [r["idx"] for r in own] == by_distance(c) and [r["step"] for r in own] == list(range(6000))
