@@ -1,12 +1,12 @@
 """Byte-level BPE by forced-boundary splitting, and decoding.
 
 A pair of bytes that stands side by side inside no vocabulary token can never be joined by merges, so between such bytes
-every encoding has a cut. A text is split at special tokens, then by the tokenizer's own pattern, then at these certain cuts;
-each fragment is encoded alone and the ids are put together. Merges never look across a cut, so the result is that of the
-whole text, and a fragment's ids can be remembered for the next time that it is met.
-
-Fragments merge lowest rank first, leftmost on ties: short ones by a rank-merge library over the same ranks, where ids and
-ranks have the same order, and long ones from a heap over a linked list, so that a very long fragment costs n log n. What a task remembers is bounded (``CACHE_ENTRIES`` pieces of at most ``CACHE_BYTES`` bytes).
+every encoding has a cut. The text's bytes are cut in two steps. First at those certain cuts that also end a piece of the
+tokenizer's own pattern whatever stands around them: a letter or digit before another class of character. Each fragment is
+then encoded alone: cut by the pattern, then at every other certain cut, and what is left is merged, lowest rank first,
+leftmost on ties, from a heap over a linked list, so that a fragment without any cut costs n log n. Merges never look across
+a cut, so the ids put together are those of the whole text, and a fragment's ids can be remembered for the next time that it
+is met. What a task remembers is bounded (``CACHE_ENTRIES`` fragments of at most ``CACHE_BYTES`` bytes).
 
 Defined cases: null and empty texts give no ids and decode to the empty text; the string of a special token in a text gives
 its id, as the tokenizer's own default does; repeated rows are encoded one by one; an empty table gives an empty result;
@@ -23,14 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_ENTRIES = 400_000
 CACHE_BYTES = 64
-SHORT_BYTES = 100
-BATCH_CHARS = 4 << 20
 
 #: The pattern by which byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,20 +40,30 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Piece of text -> (its ids as text after commas, their number); bounded."""
+def _class_changes() -> np.ndarray:
+    """Pairs of ASCII bytes between which PATTERN always ends a piece: a letter before what is no letter, a digit before what
+    is no digit. No look-ahead and no longer piece reaches over such a place."""
+    codes = np.arange(128)
+    letter = np.isin(codes | 0x20, np.arange(ord("a"), ord("z") + 1))
+    digit = np.isin(codes, np.arange(ord("0"), ord("9") + 1))
+    out = np.zeros((256, 256), bool)
+    out[:128, :128] = (letter[:, None] & ~letter[None, :]) | (digit[:, None] & ~digit[None, :])
+    return out
+
+
+class _Fragments(dict):
+    """Fragment -> its ids as text, each after a comma; bounded."""
 
     def __init__(self, bpe: "ByteBPE"):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> str:
-        raw = piece.encode("utf-8", "surrogatepass")
-        out = "".join([f",{i}" for i in self.bpe.encode_bytes(raw)])
+    def __missing__(self, raw: bytes) -> str:
+        out = "".join([f",{i}" for i in self.bpe.encode_fragment(raw)])
         if len(raw) <= CACHE_BYTES:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-            self[piece] = out
+            self[raw] = out
         return out
 
 
@@ -83,32 +90,30 @@ class ByteBPE:
             own = np.frombuffer(token, np.uint8)
             inside[own[:-1], own[1:]] = True
         self.joinable = inside
-        self._joined = inside.tobytes()
         self.pattern = regex.compile(PATTERN)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = _Pieces(self)
-        self.short = None
-        if all(self.ids[raw(a) + raw(b)] == 256 + r for r, (a, b) in enumerate(merges)):
-            self.short = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})._core_bpe.encode_single_piece
+        self.piece_ends = (~inside & _class_changes()).reshape(-1)
+        self.fragments = _Fragments(self)
 
     def cuts(self, raw: bytes) -> list[int]:
         """Positions of the certain cuts in these bytes."""
-        if len(raw) <= CACHE_BYTES:
-            joined = self._joined
-            return [i for i, (a, b) in enumerate(zip(raw, raw[1:]), 1) if not joined[a << 8 | b]]
         own = np.frombuffer(raw, np.uint8)
         return (np.flatnonzero(~self.joinable[own[:-1], own[1:]]) + 1).tolist()
 
-    def encode_bytes(self, raw: bytes) -> list[int]:
-        cuts = self.cuts(raw)
-        if not cuts and self.short and len(raw) <= SHORT_BYTES:
-            return self.short(raw)
+    def split(self, raw: bytes) -> list[bytes]:
+        """A text's bytes at those certain cuts at which the pattern ends a piece too."""
+        own = np.frombuffer(raw, np.uint8).astype(np.uint16)
+        at = (np.flatnonzero(self.piece_ends[own[:-1] << 8 | own[1:]]) + 1).tolist()
+        return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)])]
+
+    def encode_fragment(self, raw: bytes) -> list[int]:
         out: list[int] = []
-        at = 0
-        for cut in [*cuts, len(raw)]:
-            fragment = raw[at:cut]
-            out += self.short(fragment) if self.short and len(fragment) <= SHORT_BYTES else self._merge(fragment)
-            at = cut
+        for piece in self.pattern.findall(raw.decode("utf-8", "surrogatepass")):
+            own = piece.encode("utf-8", "surrogatepass")
+            at = 0
+            for cut in [*self.cuts(own), len(own)]:
+                out += self._merge(own[at:cut])
+                at = cut
         return out
 
     def _merge(self, raw: bytes) -> list[int]:
@@ -146,7 +151,7 @@ class ByteBPE:
         return self._plain(text)[1:]
 
     def _plain(self, text: str) -> str:
-        return "".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return "".join(map(self.fragments.__getitem__, self.split(text.encode("utf-8", "surrogatepass"))))
 
     def decode_text(self, ids: str) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
