@@ -149,21 +149,23 @@ class ByteBPE:
             return ids
         ranks = self.ranks
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r[0], i, r[1], ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [r[0] << 32 | i for i, p in enumerate(zip(ids, ids[1:])) if (r := ranks.get(p))]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = new, -1
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if j >= n or not (r := ranks.get((ids[i], ids[j]))) or r[0] != top >> 32:
+                continue  # one side has been merged with another since
+            new = ids[i] = r[1]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if r := ranks.get((new, ids[k])):
-                    heapq.heappush(heap, (r[0], i, r[1], new, ids[k]))
+                    heapq.heappush(heap, r[0] << 32 | i)
             if (h := before[i]) >= 0 and (r := ranks.get((ids[h], new))):
-                heapq.heappush(heap, (r[0], h, r[1], ids[h], new))
+                heapq.heappush(heap, r[0] << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode_text(self, text: str | None) -> str:

@@ -1,12 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test questions and answers.
 
-Normalising lower-cases A-Z and keeps words, runs of digits, letters and non-ASCII characters, with one space around each.
-It works on UTF-8 bytes held as Latin-1 characters, so no byte is lost and the automaton reads one byte a step. A window is
-``window`` consecutive words of an item, or the whole item if it has fewer; the automaton holds every window, and one scan
-of a text finds all of them, overlapping ones too. Hits are mapped back to word positions and to code points of the text.
+Normalising lower-cases A-Z and keeps words, runs of digits, letters and non-ASCII characters. The automaton's symbols are
+words, numbered as they come in the benchmark; a word that the benchmark does not have is 0. A window is ``window``
+consecutive words of an item, or the whole item if it has fewer; the automaton holds every window, and one scan of a text's
+words finds all of them, overlapping ones too. Hits are word positions, mapped back to code points of the text.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of item text, each the automaton of one scan, so what
-is broadcast has a fixed bound however large the benchmark is; with one block, which is usual, each text is scanned once.
+An automaton has at most ``most_nodes`` nodes, about 55 bytes each, so what is broadcast and what a worker holds has a fixed
+bound however large the benchmark is. One block of items is usual, and each text is scanned once. A larger benchmark goes in
+blocks, longer items in overlapping parts; the driver holds one block at a time, and each block is a scan of its own, whose
+hits alone, by row, come together at the end. No two blocks' automata are in one worker.
 
 Defined cases: null and empty texts have no words and are clean; items without words never match; a null item_id counts as
 an item named by the empty string; repeated items count once for each distinct id; an empty benchmark leaves every text
@@ -16,17 +18,20 @@ clean; an empty table gives an empty result; other columns are carried by ``clea
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.plans.scratch import Scratch
+
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+MOST_NODES = 4_000_000
 
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -35,50 +40,40 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ") if text else []
-
-
-def normalised(text: str | None) -> tuple[str, int]:
-    """The words with a space before and after each, and their number."""
-    own = [w for w in words(text) if w]
-    return (" " + b" ".join(own).decode("latin-1") + " ", len(own)) if own else ("", 0)
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> set[str]:
-    own = [w.decode("latin-1") for w in words(text) if w]
-    return {" " + " ".join(own[i : i + window]) + " " for i in range(max(1, len(own) - window + 1))} if own else set()
+class Windows:
+    """The windows of a block of items, as an automaton over numbered words."""
 
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        self.names: list[tuple[str, ...]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for name, own in items:
+            symbols = [self.number.setdefault(w, len(self.number) + 1) for w in own]
+            for i in range(max(1, len(symbols) - window + 1)) if symbols else ():
+                key = tuple(symbols[i : i + window])
+                length, names = self.automaton.get(key, (len(key), ()))
+                if name not in names:
+                    self.automaton.add_word(key, (length, (*names, name)))
+        self.empty = not len(self.automaton)
+        if not self.empty:
+            self.automaton.make_automaton()
 
-def automaton(items: list[tuple[str, str]], window: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Values: a window's items and its number of words."""
-    of: dict[str, set[str]] = {}
-    for name, text in items:
-        for w in item_windows(text, window):
-            of.setdefault(w, set()).add(name)
-    if not of:
-        return None
-    a = ahocorasick.Automaton()
-    for w, names in of.items():
-        a.add_word(w, (len(w), w.count(" ") - 1, tuple(names)))
-    a.make_automaton()
-    return a
 
-
-def scan(a: ahocorasick.Automaton | None, text: str | None) -> tuple[int, np.ndarray, set[str]]:
+def scan(windows: Windows | None, text: str | None) -> tuple[int, np.ndarray, set[str]]:
     """A text's number of words, a mask of its hit words, and the items found in it."""
-    low, n = normalised(text)
+    own = words(text)
     names: set[str] = set()
-    if a is None or not n:
-        return n, np.zeros(n, bool), names
-    mask, gaps = None, None
-    for end, (length, count, own) in a.iter(low):
-        if mask is None:
-            mask = np.zeros(n, bool)
-            gaps = np.flatnonzero(np.frombuffer(low.encode("latin-1"), np.uint8) == 32)
-        i = int(np.searchsorted(gaps, end - length + 1))
-        mask[i : i + count] = True
-        names.update(own)
-    return n, np.zeros(n, bool) if mask is None else mask, names
+    mask = np.zeros(len(own), bool)
+    if windows is None or windows.empty or not own:
+        return len(own), mask, names
+    number = windows.number
+    for end, (length, found) in windows.automaton.iter(tuple([number.get(w, 0) for w in own])):
+        mask[end - length + 1 : end + 1] = True
+        names.update(found)
+    return len(own), mask, names
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -95,77 +90,113 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks; the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, window: int, most_nodes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items' words in blocks whose windows have at most most_nodes words; the driver holds one block at a time."""
+    most = max(window, most_nodes // window)
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t IS NOT NULL")
     for r in rows.toLocalIterator():
-        if size and size + len(r.t) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r.i, r.t))
-        size += len(r.t)
+        own = words(r.t)
+        for at in range(0, max(1, len(own) - window + 1), most - window + 1):
+            part = own[at : at + most]
+            if size and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            if part:
+                block.append((r.i, part))
+                size += len(part)
     if block:
         yield block
 
 
-_BUILT: dict[str, ahocorasick.Automaton | None] = {}
+_BUILT: dict[str, Windows] = {}
 
 
-def _built(items: list[tuple[str, str]], window: int, key: str) -> ahocorasick.Automaton | None:
+def _built(held, window: int, key: str) -> Windows:
     """A worker keeps the automaton of the last block that it has built."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = automaton(items, window)
+        _BUILT[key] = Windows(held.value, window)
     return _BUILT[key]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _n (words), _ranges (hit word ranges), _items (their ids) and _spans (code points of the text)."""
-    spark = docs.sparkSession
-    out = docs.withColumns(
-        {"_n": F.lit(0).cast("long"), "_ranges": F.array().cast("array<array<long>>"), "_items": F.array().cast("array<string>"), "_spans": F.array().cast("array<array<long>>")}
-    )
-    schema = out.schema
-    held = None
-    for block in _blocks(benchmark, block_bytes):
-        held = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(held, hashlib.sha256(repr((window, block)).encode()).hexdigest(), window), schema)
-    return out if held else out.mapInArrow(_scanner(None, "", window), schema)
+_FOUND = "_n long, _ranges array<array<long>>, _items array<string>"
+
 
+def _found(own: DataFrame, held, key: str, window: int) -> DataFrame:
+    """own (its last column text) with _n, _ranges and _items, the hits of one block, instead of the text."""
+    carried = own.columns[:-1]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in carried] + [_FOUND])
 
-def _scanner(held, key: str, window: int):
-    def over(batches):
-        a = _built(held.value if held else [], window, key)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _built(held, window, key) if held else None
         for b in batches:
-            yield _scan_batch(a, b)
-
-    return over
-
-
-def _scan_batch(a, batch: pa.RecordBatch) -> pa.RecordBatch:
-    names = batch.schema.names
-    texts = batch.column(names.index("text")).to_pylist()
-    before = batch.column(names.index("_ranges")).to_pylist()
-    known = batch.column(names.index("_items")).to_pylist()
-    cols: dict[str, list] = {"_n": [], "_ranges": [], "_items": [], "_spans": []}
-    for text, ranges, items in zip(texts, before, known):
-        n, mask, found = scan(a, text)
-        for s, e in ranges:
-            mask[s:e] = True
-        own = runs(mask) if found or ranges else []
-        cols["_n"].append(n)
-        cols["_ranges"].append(own)
-        cols["_items"].append(sorted(found.union(items)))
-        cols["_spans"].append(spans(text, own) if own else [])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[c], batch.schema.field(c).type) if c in cols else batch.column(i) for i, c in enumerate(names)], schema=batch.schema
-    )
+            rows = [scan(windows, t) for t in b.column(len(carried)).to_pylist()]
+            new = [
+                pa.array([n for n, _, _ in rows], pa.int64()),
+                pa.array([runs(mask) if names else [] for _, mask, names in rows], pa.list_(pa.list_(pa.int64()))),
+                pa.array([sorted(names) for _, _, names in rows], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *new], names=[*carried, "_n", "_ranges", "_items"])
+
+    return own.mapInArrow(over, schema)
+
 
+def _merged(ranges: Column) -> Column:
+    """Sorted ranges with those that overlap or touch made one."""
+    pair = lambda a, b: F.array(a.cast("long"), b.cast("long"))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans."""
-    found = hits(docs.select("doc_id", "text"), benchmark, window)
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(pair(last[0], F.greatest(last[1], r[1]))))
+        return F.when((F.size(acc) > 0) & (r[0] <= last[1]), joined).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<array<long>>"), step)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_nodes: int = MOST_NODES) -> DataFrame:
+    """docs: any columns, the last text. The others with _n (words), _ranges (hit word ranges) and _items (their ids)."""
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, window, most_nodes)
+    first, second = next(blocks, None), next(blocks, None)
+
+    def scanned(own: DataFrame, block) -> DataFrame:
+        return _found(own, spark.sparkContext.broadcast(block), hashlib.sha256(repr((window, block)).encode()).hexdigest(), window)
+
+    if first is None:
+        return _found(docs, None, "", window)
+    if second is None:
+        return scanned(docs, first)
+    scratch = Scratch(spark, "leaks")
+    held = scratch.table(docs.withColumn("_uid", F.monotonically_increasing_id()), "texts")
+    counted = scratch.table(_found(held.select("_uid", *docs.columns), None, "", window).drop("_ranges", "_items"), "counted")
+    parts, texts = None, held.select("_uid", docs.columns[-1])
+    for block in itertools.chain((first, second), blocks):
+        part = scratch.table(scanned(texts, block).where(F.size("_items") > 0), "hits")
+        parts = part if parts is None else parts.union(part)
+    scratch.drop(held)
+    found = parts.groupBy(F.col("_uid").alias("_huid")).agg(F.flatten(F.collect_list("_ranges")).alias("_ranges"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    out = counted.join(found, F.col("_uid") == F.col("_huid"), "left")
+    ranges = F.coalesce(_merged(F.col("_ranges")), F.array().cast("array<array<long>>"))
+    return out.select(*docs.columns[:-1], "_n", ranges.alias("_ranges"), F.coalesce(F.array_sort("_items"), F.array().cast("array<string>")).alias("_items"))
+
+
+def with_spans(found: DataFrame) -> DataFrame:
+    """found (_ranges, and _text) with _spans, the code points of each range in the text."""
+    schema = found.withColumn("_spans", F.array().cast("array<array<long>>")).schema
+    at, of = found.columns.index("_text"), found.columns.index("_ranges")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [spans(t, r) if r else [] for t, r in zip(b.column(at).to_pylist(), b.column(of).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.list_(pa.list_(pa.int64())))], names=schema.names)
+
+    return found.mapInArrow(over, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_nodes: int = MOST_NODES) -> DataFrame:
+    """A row for each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, ranges (of words)."""
+    found = hits(docs.select("doc_id", "text"), benchmark, window, most_nodes)
     n_hit = F.aggregate("_ranges", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
     return found.select(
         "doc_id",
@@ -175,15 +206,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         F.col("_items").alias("items"),
-        F.col("_spans").alias("spans"),
+        F.col("_ranges").alias("ranges"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def leaked_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_nodes: int = MOST_NODES) -> DataFrame:
+    """(doc_id, text, items, spans) of the documents with hits; spans are code points of the text, end exclusive."""
+    found = hits(docs.select("doc_id", F.col("text").alias("_text"), "text"), benchmark, window, most_nodes).where(F.size("_ranges") > 0)
+    return with_spans(found).select("doc_id", F.col("_text").alias("text"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_nodes: int = MOST_NODES) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    inner = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["text"].alias("text"))
-    found = hits(inner, benchmark, window)
+    inner = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["text"].alias("_text"))
+    found = hits(inner, benchmark, window, most_nodes)
     return found.where(F.size("_ranges") == 0).select(*names).toDF(*docs.columns)
 
 

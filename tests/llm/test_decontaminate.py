@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from fathom.llm import decontaminate
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -28,11 +30,13 @@ ITEMS = [(1, "The quick-brown fox jumps over the lazy dog and runs"), (1, "fox j
 
 def test_equals_brute_force(spark, odd_docs, no_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for limit in (1 << 20, 10):  # one block, and a block for each item
-        found = decontaminate.hits(odd_docs.select("doc_id", "text"), bench, 10, limit).collect()
+    for limit in (1 << 20, 100):  # one block, and blocks of at most ten words
+        found = decontaminate.hits(odd_docs.select("doc_id", "text", F.col("text").alias("_text")), bench, 10, limit).collect()
+        assert len(found) == odd_docs.count()
         for r in found:
             n, hit, items, _, _ = brute(r["text"], ITEMS, 10)
             assert (r["_n"], sum(b - a for a, b in r["_ranges"]), len(r["_items"])) == (n, hit, items), r["text"]
+            assert all(a[1] < b[0] for a, b in zip(r["_ranges"], r["_ranges"][1:]))
     key = lambda r: tuple(map(str, r))
     got = [tuple(r)[:6] for r in decontaminate.decontaminate(odd_docs, bench).collect()]
     assert sorted(got, key=key) == sorted([(r["doc_id"], *brute(r["text"], ITEMS, 10)) for r in odd_docs.collect()], key=key)
@@ -42,8 +46,20 @@ def test_equals_brute_force(spark, odd_docs, no_docs):
 
 def test_spans_and_clean(spark, odd_docs):
     bench = spark.createDataFrame([(1, "brown fox jumps")], "item_id long, text string")
-    for r in decontaminate.hits(odd_docs.select("doc_id", "text"), bench).collect():
-        for a, b in r["_spans"]:
-            assert r["text"][a:b] == "brown fox jumps"
+    found = decontaminate.leaked_spans(odd_docs, bench).collect()
+    assert len(found) == sum("brown fox jumps" in (r["text"] or "") for r in odd_docs.collect())
+    for r in found:
+        assert [r["text"][a:b] for a, b in r["spans"]] == ["brown fox jumps"]
     left = decontaminate.clean(odd_docs, bench)
     assert left.columns == odd_docs.columns and left.count() == sum("brown fox jumps" not in (r["text"] or "") for r in odd_docs.collect())
+
+
+def test_windows_take_bounded_memory():
+    """8 MB of items: blocks of at most MOST_NODES words in windows, each automaton well under 500 MB."""
+    import random
+
+    rng = random.Random(4)
+    pool = [bytes(rng.choices(b"abcdefghij", k=rng.randrange(2, 9))) for _ in range(60_000)]
+    own = [pool[min(len(pool) - 1, int(rng.paretovariate(0.7)))] for _ in range(decontaminate.MOST_NODES // decontaminate.WINDOW)]
+    stats = decontaminate.Windows([("a", own)]).automaton.get_stats()
+    assert stats["nodes_count"] <= decontaminate.MOST_NODES and stats["total_size"] < 250 << 20
