@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -41,6 +43,75 @@ def test_broken_markup(page):
     assert isinstance(extract.extract(page), str)
 
 
+BODY = "<p>The first paragraph of the article, with words in it.</p><p>And then a second one, which is longer than that by far.</p>"
+TEXT = "The first paragraph of the article, with words in it.\n\nAnd then a second one, which is longer than that by far."
+WRAPS = ["tags-page", "social-science", "header-on-top", "has-sidebar", "search-engines", "menu-planning", "ad-hoc-notes", "share-of-voice", "css-1x9", "page"]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<div>%s</div>", '<div class="content">%s</div>'])
+def test_wrappers_of_any_name(wrap, inner):
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>"
+    foot = "<footer>&copy; 2020 The site, all rights reserved.</footer>"
+    assert extract.extract(f'<body><div class="{wrap}">{menu}{inner % BODY}{foot}</div>') == TEXT
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p class='it's'>Hello it's me, and you are there.", "Hello it's me, and you are there."),
+        ('<p style="color:red"">Text of the page, red.', "Text of the page, red."),
+        ('<p title="5" tall">Text of the page, tall.', "Text of the page, tall."),
+        ("<p title='a>b'>Text of the page, quoted.", "Text of the page, quoted."),
+        ("<p title=a>Text of the page, bare.", "Text of the page, bare."),
+        ("<p data-x = \"1\" y>Text of the page, spaced.", "Text of the page, spaced."),
+        ("<p/>Text of the page, closed.", "Text of the page, closed."),
+        ("<p>One <b ti'tle>bold</b> word, one <i>more</i>.", "One bold word, one more."),
+        ("<p>5 < 6 and 7 > 3, they say.", "5 < 6 and 7 > 3, they say."),
+        ("<!--> <p>Text after an empty comment, all of it.", "Text after an empty comment, all of it."),
+        ("</3><p>Text after a false end tag, all of it.", "Text after a false end tag, all of it."),
+        (f'<form id="whole"><input>{BODY}</form>', TEXT),
+        (f'<article>{BODY}<div class="search-results"><p>A third one, under another name.</p></div></article>', TEXT + "\n\nA third one, under another name."),
+        ("<article><p>The sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is right, they say.</p></article>", "The sum x=2 is right, they say."),
+        (f'<main>{BODY}</main><div class="comments"><article><p>I say, it is good, and so is this.</p></article></div>', TEXT),
+        (f'<article>{BODY}<form><label>Your name, please</label><input></form></article>', TEXT),
+    ],
+)
+def test_markup(page, text):
+    assert extract.extract(page) == text
+
+
+def test_generated_layouts():
+    """Held-out layouts of the generator that the weights are learnt on."""
+    from fathom.llm import extract_training
+
+    wrong = blocks = 0
+    for i in range(300):
+        page = extract_training.Layout(random.Random(77_000_000 + i))
+        own = extract.labelled(extract.blocks(page.html))
+        wrong += sum(a != b for a, b in zip(own, page.labels))
+        blocks += len(own)
+    assert wrong < 0.01 * blocks
+
+
+def test_weights_are_those_of_the_training():
+    from fathom.llm import extract_training
+
+    assert extract_training.fit() == extract.WEIGHTS
+
+
+@pytest.mark.parametrize("page", [BODY * 42_000, "<b " * 1_000_000, '<b x="' * 500_000, "<div>" * 200_000 + "x" + "</p>" * 200_000, "<!" * 1_000_000, "<a x=<" * 500_000, "<div><i>" * 100_000 + "</b>" * 100_000])
+def test_long_pages_take_linear_time(page):
+    began = time.time()
+    text = extract.extract(page)
+    assert time.time() - began < 20 and (not page.startswith("<p>") or len(text) > 4_000_000)
+
+
+def test_clashing_columns(spark):
+    df = spark.sql("SELECT 1L AS page_id, 'u' AS url, '<article><p>Hello there, reader of this page.</p></article>' AS html, 'x' AS text, 2 AS n_chars")
+    assert [tuple(r) for r in extract.main_text(df).collect()] == [(1, "u", "Hello there, reader of this page.", 33)]
+
+
 def test_frame_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<article><p>Hello there, reader of this page.</p></article>")], "page_id long, url string, html string")
     got = sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract.main_text(df).collect()))
@@ -58,8 +129,6 @@ def brute_cut(content, away, edges):
 
 
 def test_min_cut_is_minimal():
-    import random
-
     rng = random.Random(8)
     for _ in range(60):
         n = rng.randrange(1, 9)
