@@ -307,14 +307,16 @@ def joining_links(linked: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) ->
 def _apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) that join the groups of one bucket: each member meets the members outside its largest group.
 
-    A tile is a block of those outside with a block of all members; blocks hold TILE members at most on average, fewer of
-    long texts, so a tile has a bounded size however many members the bucket has.
+    A tile is a block of those outside with a block of all members; blocks hold TILE members and TILE_BYTES of their sets at
+    most on average, so a tile has a bounded size however many members the bucket has and however long they are.
     """
     known, mixed = _mixed_buckets(members, groups)
-    long = members.join(sets.select("node", "bytes"), "node").groupBy("bucket").agg(F.max("bytes").alias("_most"))
-    most = [F.least(F.lit(n), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES * n / sum(TILE)) / F.greatest("_most", F.lit(1))))) for n in TILE]
-    outside, everyone = (F.ceil(n / m).cast("int") for n, m in zip((F.col("_all") - F.col("_top.n"), F.col("_all")), most))
-    mixed = mixed.join(long, "bucket").select("bucket", F.col("_top.comp").alias("_main"), outside.alias("_outs"), everyone.alias("_alls"))
+    known = known.join(sets.select("node", "bytes"), "node")
+    heavy = F.sum("bytes"), F.sum(F.when(F.col("comp") != F.col("_top.comp"), F.col("bytes")))
+    heavy = known.join(mixed, "bucket").groupBy("bucket").agg(heavy[0].alias("_all_bytes"), heavy[1].alias("_out_bytes"))
+    both = [(F.col("_all") - F.col("_top.n"), "_out_bytes", TILE[0]), (F.col("_all"), "_all_bytes", TILE[1])]
+    outside, everyone = (F.greatest(F.ceil(n / most), F.ceil(F.col(size) * sum(TILE) / (TILE_BYTES * most))).cast("int") for n, size, most in both)
+    mixed = mixed.join(heavy, "bucket").select("bucket", F.col("_top.comp").alias("_main"), outside.alias("_outs"), everyone.alias("_alls"))
     held = known.join(mixed, "bucket").join(sets.select("node", "shingles"), "node")
 
     def block(n: str) -> Column:

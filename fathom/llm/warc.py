@@ -90,14 +90,25 @@ def records(page_id: int | None, url: str | None, html: str | None, digest: str,
         yield _record([*own, ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total)], part)
 
 
-def write_archives(pages: DataFrame, folder: str) -> None:
-    """pages: page_id, url, html. Writes gzipped archives to a shared folder."""
+def revisits(digests: DataFrame) -> DataFrame:
+    """(_p, _d, refers_to): the pages that an equal payload's response stands for. digests: page_id, digest, large."""
+    large = digests.where("large")
+    groups = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    again = large.join(groups.select("digest", "first_id"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    return again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("first_id").alias("refers_to")).distinct()
+
+
+def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> None:
+    """pages: page_id, url, html. Writes gzipped archives to a shared folder.
+
+    Which pages are revisits is found from digests alone. The written list of these has a known size: Spark sends it to the
+    pages where it is small, and else joins by page, so that no digest, however many pages have it, brings bodies together.
+    """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"digest": F.sha1("html"), "large": F.octet_length("html") >= LEAST_REVISIT})
-    groups = own.where("large").groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
-    joined = own.join(groups.select(F.col("digest").alias("_d"), "first_id"), (F.col("digest") == F.col("_d")) & F.col("large"), "left")
-    again = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    rows = joined.select("page_id", "url", F.when(again.isNull(), F.col("html")).alias("html"), "digest", again.alias("refers_to"), F.monotonically_increasing_id().alias("place"))
+    again = scratch.table(revisits(scratch.table(own.select("page_id", "digest", "large"), "digests")), "revisits")
+    joined = own.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
+    rows = joined.select("page_id", "url", F.when(F.col("_d").isNull(), F.col("html")).alias("html"), "digest", "refers_to", F.monotonically_increasing_id().alias("place"))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,33 +161,39 @@ def reassembled(segments: list[tuple[int, int | None, bytes]]) -> bytes | None:
     return block
 
 
-def _response(name: str, block: bytes) -> tuple:
+def _response(name: str, block: bytes, said: str | None) -> tuple:
     own = payload(block)
-    return (_page(name), len(own), hashlib.sha1(own).hexdigest(), "response", None, None, None, None, None)
+    digest = hashlib.sha1(own).hexdigest()
+    if said and digest != said:
+        raise ValueError(f"the payload of {name} has another digest than its record says")
+    return (_page(name), len(own), digest, "response", None, None, None, None, None)
 
 
 def _archive(stream) -> Iterator[tuple]:
     """Finished rows of an archive, and the segments of records that other archives continue."""
     open_records: dict[str, list] = {}
+    said: dict[str, str] = {}
     for fields, block in parse(stream):
         kind = fields["warc-type"]
+        digest = fields.get("warc-payload-digest", "").partition(":")[2]
         if kind == "revisit":
-            digest = fields["warc-payload-digest"].partition(":")[2]
             yield (_page(fields["warc-record-id"]), None, digest, kind, _page(fields["warc-refers-to"]), None, None, None, None)
         elif kind in ("response", "continuation"):
             number = int(fields.get("warc-segment-number", 0))
             if not number:
-                yield _response(fields["warc-record-id"], block)
+                yield _response(fields["warc-record-id"], block, digest)
                 continue
             name = fields.get("warc-segment-origin-id", fields["warc-record-id"])
             total = fields.get("warc-segment-total-length")
             open_records.setdefault(name, []).append((number, int(total) if total else None, block))
+            if number == 1:
+                said[name] = digest
             if total and (whole := reassembled(open_records[name])) is not None:
                 del open_records[name]
-                yield _response(name, whole)
+                yield _response(name, whole, said.get(name))
     for name, segments in open_records.items():
         for number, total, block in segments:
-            yield (None, None, None, None, None, name, number, total, block)
+            yield (None, None, said.get(name) if number == 1 else None, None, None, name, number, total, block)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -202,7 +219,7 @@ def read_archives(spark: SparkSession, folder: str, scratch: Scratch) -> DataFra
         block = reassembled([(s["segment"], s["total"], s["block"]) for s in own])
         if block is None:
             raise ValueError(f"segments of {own[0]['origin']} are missing")
-        return pa.Table.from_batches([_rows([_response(own[0]["origin"], block)])])
+        return pa.Table.from_batches([_rows([_response(own[0]["origin"], block, max(s["payload_digest"] or "" for s in own))])])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     parsed = scratch.table(files.mapInArrow(over, FIELDS), "parsed")
@@ -218,7 +235,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the archives of pages and reads them back."""
     scratch = Scratch(pages.sparkSession, "warc")
     folder = scratch.path("archives")
-    write_archives(pages, folder)
+    write_archives(pages, folder, scratch)
     return read_archives(pages.sparkSession, folder, scratch)
 
 
