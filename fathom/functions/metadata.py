@@ -94,15 +94,128 @@ def finite(x: Column) -> Column:
 
 
 #: Codes of the flash, white balance and orientation fields.
-FLASH = {0: "No Flash", 1: "Flash Fired", 5: "Flash Fired, Return not detected", 7: "Flash Fired, Return detected", 16: "No Flash, Compulsory Flash Suppression", 24: "No Flash, Auto", 25: "Flash Fired, Auto", 32: "No Flash Available"}
+FLASH = {
+    0: "No Flash",
+    1: "Flash Fired",
+    5: "Flash Fired, Return not detected",
+    7: "Flash Fired, Return detected",
+    9: "Flash Fired, Compulsory Flash Mode",
+    13: "Flash Fired, Compulsory Flash Mode, Return not detected",
+    15: "Flash Fired, Compulsory Flash Mode, Return detected",
+    16: "No Flash, Compulsory Flash Suppression",
+    24: "No Flash, Auto",
+    25: "Flash Fired, Auto",
+    29: "Flash Fired, Auto, Return not detected",
+    31: "Flash Fired, Auto, Return detected",
+    32: "No Flash Available",
+}
+WHITE_BALANCE = {0: "Auto", 1: "Manual"}
+ORIENTATION = {
+    1: "Normal",
+    2: "Mirrored horizontally",
+    3: "Rotated 180°",
+    4: "Mirrored vertically",
+    5: "Mirrored horizontally, rotated 270° CW",
+    6: "Rotated 90° CW",
+    7: "Mirrored horizontally, rotated 90° CW",
+    8: "Rotated 270° CW",
+}
+#: EXIF fields in the order in which they are shown, with their labels; of equal labels the first field counts.
+EXIF_FIELDS = (
+    ("DateTimeOriginal", "Date Taken"),
+    ("DateTime", "Date/Time"),
+    ("Make", "Camera Make"),
+    ("Model", "Camera Model"),
+    ("Software", "Software"),
+    ("FNumber", "Aperture"),
+    ("ExposureTime", "Shutter Speed"),
+    ("ISOSpeedRatings", "ISO"),
+    ("FocalLength", "Focal Length"),
+    ("Flash", "Flash"),
+    ("WhiteBalance", "White Balance"),
+    ("Orientation", "Orientation"),
+    ("ImageWidth", "Width"),
+    ("ExifImageWidth", "Width"),
+    ("ImageLength", "Height"),
+    ("ExifImageHeight", "Height"),
+    ("GPSLatitudeDecimal", "GPS Latitude"),
+    ("GPSLongitudeDecimal", "GPS Longitude"),
+    ("GPSAltitude", "GPS Altitude"),
+    ("GPSTimeStamp", "GPS Time"),
+)
 
 
 def exposure_text(seconds: Column) -> Column:
     return F.when(seconds < 1, F.format_string("1/%ds", F.floor(1 / seconds).cast("int"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
 
 
-def coded(value: Column, names: dict[int, str]) -> Column:
-    out = F.lit(None).cast("string")
+def coded(value: Column, names: dict[int, str], other: str = "") -> Column:
+    """The name of a code, else other before the code."""
+    out = F.concat(F.lit(other), value.cast("string"))
     for k, name in names.items():
         out = F.when(value == k, name).otherwise(out)
-    return F.coalesce(out, value.cast("string"))
+    return out
+
+
+def exif_text(v: Column, field: str) -> Column:
+    """The text of one field of an EXIF record (a variant); N/A for a null value, null for a field that is not there."""
+    path = f"$.{field}"
+    text, number, whole = (F.try_variant_get(v, path, kind) for kind in ("string", "double", "int"))
+    if field == "ExposureTime":
+        out = F.when(number < 1, exposure_text(number)).otherwise(F.concat(text, F.lit("s")))
+    elif field in ("FNumber", "FocalLength", "GPSAltitude"):
+        before, after = {"FNumber": ("f/", ""), "FocalLength": ("", "mm"), "GPSAltitude": ("", "m")}[field]
+        out = F.concat(F.lit(before), text, F.lit(after))
+    elif field in ("GPSLatitudeDecimal", "GPSLongitudeDecimal"):
+        out = F.format_string("%.6f°", number)
+    elif field == "Flash":
+        out = coded(whole, FLASH, "Flash Mode ")
+    elif field == "WhiteBalance":
+        out = coded(whole, WHITE_BALANCE, "Mode ")
+    elif field == "Orientation":
+        out = coded(whole, ORIENTATION, "Orientation ")
+    elif field in ("ImageWidth", "ImageLength", "ExifImageWidth", "ExifImageHeight"):
+        out = F.concat(text, F.lit(" pixels"))
+    else:
+        kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        out = F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.format_string("%.2f", number)).otherwise(text)
+    named = F.array_contains(F.json_object_keys(F.to_json(v)), field)
+    return F.when(named, F.coalesce(out, F.lit("N/A")))
+
+
+def exif_table(v: Column) -> Column:
+    """The fields to show, in order: array of (label, value). Of fields with one label the first that is there counts."""
+    by_label: dict[str, list[Column]] = {}
+    for field, label in EXIF_FIELDS:
+        by_label.setdefault(label, []).append(exif_text(v, field))
+    rows = [F.struct(F.lit(label).alias("label"), F.coalesce(*texts).alias("value")) for label, texts in by_label.items()]
+    return F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
+
+
+def has_generation(v: Column) -> Column:
+    """Whether a record is one of a generated image."""
+    has = lambda p: F.try_variant_get(v, p, "variant").isNotNull()
+    return has("$.app_version") | has("$.generation_mode") | has("$.canvas_v2_metadata")
+
+
+def flat_scalars(json: Column) -> Column:
+    """The top-level scalars of a JSON record as a map of texts; objects and lists are left out."""
+    own = F.from_json(json, "map<string,string>")
+    return F.map_filter(own, lambda k, x: ~F.coalesce(F.ltrim(x), F.lit("")).rlike(r"^[\[{]"))
+
+
+def is_flat(json: Column) -> Column:
+    """Whether a record has scalars only."""
+    return F.cardinality(flat_scalars(json)) == F.cardinality(F.from_json(json, "map<string,string>"))
+
+
+def referenced_files(v: Column) -> Column:
+    """The files that a generation refers to: reference images, then control layers, then raster layers; nulls left out."""
+    def named(path: str, inner: str) -> Column:
+        own = F.from_json(F.to_json(F.coalesce(F.try_variant_get(v, path, "variant"), F.parse_json(F.lit("[]")))), "array<string>")
+        return F.transform(own, lambda x: F.get_json_object(x, inner))
+
+    every = F.concat(
+        named("$.ref_images", "$.config.image.image_name"), named("$.control_layers", "$.image.image_name"), named("$.raster_layers", "$.image.image_name")
+    )
+    return F.filter(every, lambda x: x.isNotNull() & (x != ""))

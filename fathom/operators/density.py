@@ -15,6 +15,7 @@ FALLBACK_EPS = 0.2
 LEAST_EPS = 0.01
 QUANTILES = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 LARGEST_SHARE = 0.25
+SPAN_SHARE = 0.25
 PAIR_BUDGET = 50_000_000
 SHRINK = 0.7
 GIVE_UP_EPS = 1e-6
@@ -86,11 +87,14 @@ def within_budget(points: DataFrame, eps: float, budget: int = PAIR_BUDGET, node
 
 
 def resolved_eps(points: DataFrame, requested: float | None = None, stored: float | None = None, min_samples: int = MIN_SAMPLES, budget: int = PAIR_BUDGET, node: str = "node") -> float:
-    """Requested, else stored, else adaptive. A derived radius is kept between the least one and the layout's span; the pair budget holds for all, last."""
+    """Requested, else stored, else adaptive. A derived radius is at most a quarter of the layout's span; the least radius
+    holds for all, and so does the pair budget, last."""
     given = requested if requested is not None else stored
     if not points.limit(1).count():
         return FALLBACK_EPS if given is None else given
     eps = given
     if eps is None:
-        eps = max(LEAST_EPS, min(adaptive_eps(points, min_samples, node), span(points) or FALLBACK_EPS))
-    return within_budget(points, eps, budget, node)
+        eps = adaptive_eps(points, min_samples, node)
+        if wide := span(points):
+            eps = min(eps, SPAN_SHARE * wide)
+    return within_budget(points, max(eps, LEAST_EPS), budget, node)

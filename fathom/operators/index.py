@@ -46,7 +46,13 @@ def updated(existing: DataFrame, live: DataFrame, encoded: DataFrame, path: str
 
 
 def deleted(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """The index without rows whose idx is in gone; out-of-range positions find nothing."""
+    """The index without rows whose idx is in gone. A position that the index does not have stops the whole batch.
+
+    All positions are of the index as given. The check reads positions alone, of index and batch.
+    """
+    beyond = gone.select("idx").distinct().join(index.select("idx"), "idx", "left_anti").limit(1).collect()
+    if beyond:
+        raise IndexError(f"no row has position {beyond[0]['idx']}")
     return index.join(gone.select("idx").distinct(), "idx", "left_anti")
 
 
@@ -65,6 +71,30 @@ def renumbered(marks: DataFrame, gone: DataFrame) -> DataFrame:
     return out.select("idx", (F.col("idx") - F.col("_below") - F.col("_before")).alias("new_idx"))
 
 
+def image_info(index: DataFrame, idx: int, *columns: str) -> DataFrame:
+    """The row at a position; an error if there is none."""
+    row = index.where(F.col("idx") == idx).select("idx", *columns)
+    if row.isEmpty():
+        raise IndexError(f"no row has position {idx}")
+    return row
+
+
+def positions(table: DataFrame, keys: list[tuple], order: list[str]) -> DataFrame:
+    """(_k, idx) of a few stated rows, by the place of their key among keys in order: how many rows come before each.
+
+    One pass over the order columns with a count for each gap between the stated keys; nothing is sorted and nothing dealt.
+    """
+    spark = table.sparkSession
+    if not keys:
+        return spark.createDataFrame([], "_k int, idx long")
+    stated = F.array(*[F.struct(*[F.lit(v).cast(table.schema[c].dataType).alias(c) for c, v in zip(order, key)]) for key in keys])
+    below = F.size(F.filter(stated, lambda k: k < F.struct(*order)))
+    gaps = table.select(below.alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
+    every = spark.range(len(keys)).select(F.col("id").cast("int").alias("_k"))
+    upto = F.sum(F.coalesce("_n", F.lit(0))).over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    return every.join(gaps, "_k", "left").select("_k", (upto - 1).alias("idx"))
+
+
 def renamed(index: DataFrame, idx: int, new_path: str, path: str = "path") -> DataFrame:
     return index.withColumn(path, F.when(F.col("idx") == idx, F.lit(new_path)).otherwise(F.col(path)))
 

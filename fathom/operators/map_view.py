@@ -123,3 +123,20 @@ def hit(points: DataFrame, marks: DataFrame, half_x: float, half_y: float, cell:
     p = points.select("idx", "x", "y", F.floor(F.col("x") / w).alias("_cx"), F.floor(F.col("y") / h).alias("_cy"))
     inside = (F.abs(F.col("x") - F.col("_x")) <= half_x) & (F.abs(F.col("y") - F.col("_y")) <= half_y)
     return p.join(m, ["_cx", "_cy"]).where(inside).groupBy("idx").agg(F.min_by("cluster", "place").alias("cluster"))
+
+
+def representatives(marks: DataFrame, medoids: DataFrame, visible: DataFrame, cluster: str = "cluster", idx: str = "idx") -> DataFrame:
+    """(cluster, idx) to show for each landmark: the medoid if it is visible, else the landmark's own point."""
+    seen = medoids.join(visible.select(idx), idx, "left_semi").select(F.col(cluster).alias("_c"), F.col(idx).alias("_m"))
+    return marks.join(seen, F.col(cluster) == F.col("_c"), "left").select(cluster, F.coalesce("_m", idx).alias(idx))
+
+
+def point_info(points: DataFrame, colours: DataFrame, cluster: str = "cluster", idx: str = "idx") -> DataFrame:
+    """(idx, cluster, colour, size) of each point: what its cluster is drawn with, and how many it has. colours: cluster, colour."""
+    sizes = points.groupBy(cluster).agg(F.count("*").alias("size"))
+    return points.select(idx, cluster).join(sizes.join(colours, cluster, "left"), cluster).select(idx, cluster, "colour", "size")
+
+
+def overlay(points: DataFrame, bands: DataFrame, locked: DataFrame, idx: str = "idx") -> DataFrame:
+    """Points of a curation with their band, without those that are locked. bands: idx, band."""
+    return points.join(bands.select(idx, "band"), idx).join(locked.select(idx), idx, "left_anti")

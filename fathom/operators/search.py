@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.vectors import dot, l2_normalised, sigmoid
+from fathom.operators.index import positions
 
 #: The least score that a result needs, by encoder backend.
 FLOORS = {"siglip": 0.005, "openai-clip": 0.2, "open-clip": 0.1}
@@ -68,6 +69,19 @@ def search(index: DataFrame, top_k: int = 100, floor: float = OTHER_FLOOR, vecto
     return scored.where(F.col("score") >= floor).orderBy(F.desc("score"), idx).limit(top_k)
 
 
+def search_files(files: DataFrame, order: list[str], top_k: int = 100, floor: float = OTHER_FLOOR, vector: str = "v", digits: int | None = None, **query) -> DataFrame:
+    """search over files that have no stored positions: scored and cut first, ties by the order; only the winners are numbered."""
+    spark = files.sparkSession
+    score = hybrid_score(vector, **query)
+    if score is None:
+        return spark.createDataFrame([], "idx long, score double")
+    scored = files.select(*order, (F.round(score, digits) if digits is not None else score).alias("_score")).where(F.col("_score") >= floor)
+    best = scored.orderBy(F.desc("_score"), *order).limit(top_k).collect()
+    winners = sorted((tuple(r[c] for c in order), r["_score"]) for r in best)
+    held = spark.createDataFrame([(k, s) for k, (_, s) in enumerate(winners)], "_k int, score double")
+    return positions(files, [k for k, _ in winners], order).join(held, "_k").select("idx", "score")
+
+
 def search_batch(index: DataFrame, queries: DataFrame, top_k: int, vector: str = "v", idx: str = "idx", block: int = 256) -> DataFrame:
     """The best rows for each of many stated queries (query, q), which go to the rows in blocks of a fixed number.
 

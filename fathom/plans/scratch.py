@@ -14,6 +14,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("spark.fathom.scratch", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             root = "file://" + tempfile.mkdtemp(prefix="fathom-scratch-")
             spark.conf.set("spark.fathom.scratch", root)
     return root.rstrip("/")

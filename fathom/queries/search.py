@@ -23,7 +23,7 @@ def _queries(spark: SparkSession, sf_dir: str, *ids: int) -> list[list[float]]:
 @query(f"WITH {MEDIA_SQL}, u AS (SELECT idx, {_UNIT} AS w FROM media), s AS (SELECT idx, round({_COS.format('w', 7)}, 6) AS score FROM u) SELECT * FROM s WHERE score >= 0.1 ORDER BY score DESC, idx LIMIT 20")
 def hybrid_search_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     (q,) = _queries(spark, sf_dir, 7)
-    return s.search(media(spark, sf_dir), 20, 0.1, image=q, digits=6)
+    return s.search_files(files(spark, sf_dir), ["mtime", "filename"], 20, 0.1, image=q, digits=6)
 
 
 @query(
@@ -31,7 +31,7 @@ def hybrid_search_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_search_multimodal_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = _queries(spark, sf_dir, 7, 11, 23)
-    return s.search(media(spark, sf_dir), 50, 0.05, image=a, positive=b, negative=c, weights=(0.5, 0.8, 0.4), digits=6)
+    return s.search_files(files(spark, sf_dir), ["mtime", "filename"], 50, 0.05, image=a, positive=b, negative=c, weights=(0.5, 0.8, 0.4), digits=6)
 
 
 @query(
@@ -39,14 +39,14 @@ def hybrid_search_multimodal_negative(spark: SparkSession, sf_dir: str) -> DataF
 )
 def search_calibrated_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     (q,) = _queries(spark, sf_dir, 11)
-    return s.search(media(spark, sf_dir), 30, 0.005, positive=q, scale=2.0, bias=-1.5, digits=6)
+    return s.search_files(files(spark, sf_dir), ["mtime", "filename"], 30, 0.005, positive=q, scale=2.0, bias=-1.5, digits=6)
 
 
 @query(f"WITH {MEDIA_SQL}, u AS (SELECT idx, {_UNIT} AS w FROM media), s AS (SELECT idx, round(0 - 0.5 * {_COS.format('w', 23)}, 6) AS score FROM u) SELECT * FROM s WHERE score >= 0.1 ORDER BY score DESC, idx LIMIT 10")
 def search_negative_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query of negatives alone gives what is least like them."""
     (q,) = _queries(spark, sf_dir, 23)
-    return s.search(media(spark, sf_dir), 10, 0.1, negative=q, digits=6)
+    return s.search_files(files(spark, sf_dir), ["mtime", "filename"], 10, 0.1, negative=q, digits=6)
 
 
 @query(

@@ -24,19 +24,44 @@ class Store:
         success = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         return sorted(v for v in own if fs.exists(success(f"{self.path}/v{v}/_SUCCESS")))
 
-    def write(self, df: DataFrame) -> int:
+    def _claim(self) -> int:
+        """A version number that no other writer has: the file that claims it can be made once only."""
+        jvm = self.spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         version = (self._versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/v{version}")):
+            version += 1
+        return version
+
+    def write(self, df: DataFrame) -> int:
+        """A new version with df alone. Writers at one time have versions of their own; the last number is current."""
+        version = self._claim()
+        df.write.mode("errorifexists").parquet(f"{self.path}/v{version}")
         return version
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def append(self, df: DataFrame, part: str) -> None:
+        """Rows added to the current version under a name; the same name again replaces what it added."""
+        current = (self._versions() or [0])[-1]
+        df.write.mode("overwrite").parquet(f"{self.path}/v{current}-parts/{part}")
+
+    def _parts(self, version: int) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}-parts")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def read(self, version: int | None = None, without: str | None = None) -> DataFrame:
+        """The rows of a version, the current one if none is named, and what was added to it but for one part."""
         versions = self._versions()
-        if not versions:
+        current = version or (versions[-1] if versions else 0)
+        folders = [f"{self.path}/v{current}"] if current in versions else []
+        folders += [f"{self.path}/v{current}-parts/{p}" for p in self._parts(current) if p != without]
+        if not folders:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v{version or versions[-1]}")
+        return self.spark.read.parquet(*folders)
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return bool(self._versions() or self._parts(0))
 
     def drop(self) -> None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)

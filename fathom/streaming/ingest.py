@@ -19,18 +19,18 @@ def listing_stream(spark: SparkSession, folder: str, schema: str = "path string,
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, encode: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Every batch adds the files that the index does not have yet; a batch that is run again adds nothing twice."""
+    """Every batch adds the files that the index does not have yet, as a part of its own: what was there is neither read whole
+    nor written again, but for its paths. A batch that is run again replaces its part."""
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
+        part = f"batch-{number:012d}"
         fresh = batch.dropDuplicates(["path"])
         fresh = fresh.withColumn("_k", path_key(F.col("path"))).dropDuplicates(["_k"]).drop("_k")
-        if store.exists():
-            have = store.read()
-            added = encode(new_files(fresh, have))
-            if added.limit(1).count():
-                store.write(have.unionByName(added))
-        elif fresh.limit(1).count():
-            store.write(encode(fresh))
+        try:
+            fresh = new_files(fresh, store.read(without=part).select("path"))
+        except FileNotFoundError:
+            pass  # the first batch
+        store.append(encode(fresh), part)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

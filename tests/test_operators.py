@@ -151,6 +151,7 @@ def test_eps_fallbacks_and_precedence(spark):
     few = points_of(spark, [(0, 0), (1, 1)])
     assert density.resolved_eps(few, requested=3.0, stored=1.0) == 3.0
     assert density.resolved_eps(few, stored=1.0) == 1.0
+    assert density.resolved_eps(few, requested=0.001) == density.resolved_eps(few, stored=0.0) == density.LEAST_EPS
     none = few.limit(0)
     assert density.resolved_eps(none) == density.FALLBACK_EPS and density.resolved_eps(none, requested=9.0) == 9.0
     assert density.within_budget(points_of(spark, blobs()), 100.0, budget=2000) < 100
@@ -275,3 +276,51 @@ def test_orders_of_large_clusters_are_not_made_in_one_task(spark):
     for c in (0, 1):
         own = walk.where(F.col("cluster") == c).orderBy("step").collect()
         assert [r["idx"] for r in own] == by_distance(c) and [r["step"] for r in own] == list(range(6000))
+
+
+def test_a_derived_radius_is_at_most_a_quarter_of_the_span(spark, monkeypatch):
+    from fathom.operators import density
+
+    points = spark.createDataFrame([(i, float(i % 3) * 2, 0.0) for i in range(30)], "node long, x double, y double")
+    monkeypatch.setattr(density, "adaptive_eps", lambda *_: 3.0)
+    assert density.resolved_eps(points) == 1.0 and density.resolved_eps(points, requested=3.0) == 3.0
+    monkeypatch.setattr(density, "adaptive_eps", lambda *_: 0.001)
+    assert density.resolved_eps(points) == density.LEAST_EPS
+
+
+def test_positions_beyond_the_index_are_errors(spark):
+    from fathom.operators import index as ix
+
+    own = spark.range(10).withColumnRenamed("id", "idx")
+    for bad in (-1, 10):
+        with pytest.raises(IndexError):
+            ix.deleted(own, spark.createDataFrame([(3,), (bad,)], "idx long"))
+        with pytest.raises(IndexError):
+            ix.image_info(own, bad)
+    assert ix.deleted(own, own.where("idx = 3")).count() == 9 and ix.image_info(own, 3).first()["idx"] == 3
+
+
+def test_positions_of_stated_rows(spark):
+    from fathom.operators import index as ix
+
+    rows = sorted((float(i * 7 % 5), f"f{i * 13 % 40:02d}") for i in range(40))
+    df = spark.createDataFrame(rows, "mtime double, filename string").repartition(3)
+    asked = [rows[0], rows[17], rows[39]]
+    assert {r["_k"]: r["idx"] for r in ix.positions(df, asked, ["mtime", "filename"]).collect()} == {0: 0, 1: 17, 2: 39}
+    assert ix.positions(df, [], ["mtime", "filename"]).count() == 0
+
+
+def test_a_shuffled_round_has_each_row_once(spark):
+    from fathom.operators import navigation as nav
+
+    rows = spark.range(50).withColumnRenamed("id", "idx")
+    order = [r["idx"] for r in nav.shuffled(rows, 3, shown=7).orderBy("_turn").collect()]
+    assert sorted(order) == list(range(50)) and order[-1] == 7 and order != sorted(order)
+
+
+def test_texts_of_points(spark):
+    from fathom.operators import navigation as nav
+
+    rows = spark.createDataFrame([(0, 9, 4, "abbey"), (1, 9, -1, None), (2, 9, 5, "")], "i int, n int, c int, l string")
+    got = [r[0] for r in rows.orderBy("i").select(nav.cluster_text(*map(F.col, ("i", "n", "c", "l")))).collect()]
+    assert got == ["1/9 (Cluster 4 · abbey)", "2/9 (unclustered)", "3/9 (Cluster 5)"]

@@ -84,3 +84,15 @@ def test_ingest_adds_new_files_once(spark, tmp_path):
     assert store.read().count() == 2
     arrive("B.JPG", "c.jpg")
     assert sorted(r["path"].lower() for r in store.read().collect()) == ["a.jpg", "b.jpg", "c.jpg"]
+
+
+def test_writers_never_share_a_version(spark, tmp_path):
+    from fathom.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    taken = store._claim()  # another writer that is still at work
+    assert taken == 1 and store.write(spark.range(3)) == 2 and store.read().count() == 3
+    store.append(spark.range(2), "a")
+    store.append(spark.range(4), "a")
+    assert store.read().count() == 7 and store.read(without="a").count() == 3
+    assert store.write(spark.range(1)) == 3 and store.read().count() == 1 and store.read(2).count() == 7
