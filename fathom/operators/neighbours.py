@@ -2,7 +2,8 @@
 
 Vectors: cells around pivots. A row's home is its nearest pivot; it also visits every cell that is at most twice the radius
 farther from it, so two rows within the radius always meet in both homes, and a pair is given in the home of its smaller id.
-Cells are cut into blocks, so a crowded cell is many tasks. Points: a grid of squares as wide as the radius, joined on equal
+Cells are cut into blocks, so a crowded cell is many tasks. Where there are few rows, or a sample shows that pivots would copy
+rows more often than plain blocks of all rows do (wide radii, many dimensions), the rows meet in such blocks. Points: a grid of squares as wide as the radius, joined on equal
 squares with the eight around them.
 """
 
@@ -20,6 +21,7 @@ from fathom.plans.scratch import Scratch
 ROWS_PER_CELL = 2000
 MOST_PIVOTS = 256
 BLOCK = 2000
+SAMPLE = 512
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -36,12 +38,19 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
     n = own.count()
     if not n:
         return spark.createDataFrame([], "u long, v long, cosine double")
-    few = min(MOST_PIVOTS, max(1, n // ROWS_PER_CELL))
-    picks = own.orderBy(F.xxhash64("node")).limit(few).collect()
-    pivots = np.array([r["v"] for r in picks])
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True) + 1e-12
-    held = spark.sparkContext.broadcast(pivots)
+    blocks = math.ceil(n / BLOCK)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    few = min(MOST_PIVOTS, n // ROWS_PER_CELL)
+    picks = own.orderBy(F.xxhash64("node")).limit(few + SAMPLE).collect() if few > 1 else []
+    sample = np.array([r["v"] for r in picks], np.float64)
+    pivots = sample[:few]
+    if few > 1:
+        sample /= np.linalg.norm(sample, axis=1, keepdims=True) + 1e-12
+        d = np.sqrt(np.maximum(0, 2 - 2 * sample[few:] @ pivots.T))
+        visited = (d <= d.min(axis=1, keepdims=True) + 2 * radius).sum(axis=1).mean() if len(d) else few
+    if few < 2 or visited >= blocks:  # pivots would copy each row more often than blocks of all rows do
+        return _rounded(_blocked(own, blocks, threshold), threshold, digits)
+    held = spark.sparkContext.broadcast(pivots)
 
     def cells(batches):
         for b in batches:
@@ -62,18 +71,38 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
     at_home = dealt.where("home").select("cell", F.col("_b").alias("i"), every("j"), "node", "v", F.lit(True).alias("home"))
     visits = dealt.select("cell", every("i"), F.col("_b").alias("j"), "node", "v", F.lit(False).alias("home"))
 
-    def pairs(t: pa.Table) -> pa.Table:
-        home = t.column("home").to_numpy()
+    out = at_home.union(visits).groupBy("cell", "i", "j").applyInArrow(_pairs(threshold), "u long, v long, cosine double")
+    return _rounded(out, threshold, digits)
+
+
+def _pairs(threshold: float):
+    """The pairs of a tile: rows at home with visiting ones, the smaller node first."""
+
+    def over(t: pa.Table) -> pa.Table:
+        home = t.column("home").to_numpy(zero_copy_only=False)
         node, x = t.column("node").to_numpy(), _matrix(t.column("v"))
-        if not home.any():
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         a, b = np.flatnonzero(home), np.flatnonzero(~home)
+        if not len(a) or not len(b):
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         s = x[a] @ x[b].T
         i, j = np.nonzero((s >= threshold - 1e-9) & (node[a][:, None] < node[b][None, :]))
         return pa.table({"u": node[a][i], "v": node[b][j], "cosine": s[i, j]})
 
-    out = at_home.union(visits).groupBy("cell", "i", "j").applyInArrow(pairs, "u long, v long, cosine double")
-    return out.withColumn("cosine", F.round("cosine", digits)).where(F.col("cosine") >= threshold)
+    return over
+
+
+def _rounded(pairs: DataFrame, threshold: float, digits: int) -> DataFrame:
+    return pairs.withColumn("cosine", F.round("cosine", digits)).where(F.col("cosine") >= threshold)
+
+
+def _blocked(own: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """All pairs in tiles of two blocks of about BLOCK rows: each row is in as many tiles as there are blocks, twice."""
+    norm = own.select("node", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, y: acc + y * y)).alias("_n"))
+    unit = norm.select("node", F.transform("v", lambda x: x / (F.col("_n") + 1e-12)).alias("v"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("_b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    at_home = unit.select(F.col("_b").alias("i"), every.alias("j"), "node", "v", F.lit(True).alias("home"))
+    visits = unit.select(every.alias("i"), F.col("_b").alias("j"), "node", "v", F.lit(False).alias("home"))
+    return at_home.union(visits).groupBy("i", "j").applyInArrow(_pairs(threshold), "u long, v long, cosine double")
 
 
 def grid_pairs(points: DataFrame, eps: float, node: str = "node") -> DataFrame:
