@@ -6,7 +6,7 @@ tokenizer's own pattern whatever stands around them, such as a letter before a s
 then encoded alone: cut by the pattern, then at every other certain cut, and what is left is merged, lowest rank first,
 leftmost on ties, from a heap over a linked list, so that a fragment without any cut costs n log n. Merges never look across
 a cut, so the ids put together are those of the whole text, and a fragment's ids can be remembered for the next time that it
-is met. What a task remembers is bounded (``CACHE_ENTRIES`` fragments of at most ``CACHE_BYTES`` bytes).
+is met. What a task remembers is bounded (two times ``CACHE_ENTRIES`` fragments of at most ``CACHE_BYTES`` bytes).
 
 Defined cases: null and empty texts give no ids and decode to the empty text; the string of a special token in a text gives
 its id, as the tokenizer's own default does; repeated rows are encoded one by one; an empty table gives an empty result;
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 150_000
 CACHE_BYTES = 64
 
 #: The pattern by which byte-level BPE splits a text before merging.
@@ -75,16 +75,20 @@ def piece_ends(own: np.ndarray) -> np.ndarray:
 
 
 class _Fragments(dict):
-    """Fragment -> its ids as text, each after a comma; bounded."""
+    """Fragment -> its ids as text, each after a comma. Two generations, each bounded: what is met again outlives what is not."""
 
     def __init__(self, bpe: "ByteBPE"):
         super().__init__()
         self.bpe = bpe
+        self.old: dict[bytes, str] = {}
 
     def __missing__(self, raw: bytes) -> str:
-        out = "".join([f",{i}" for i in self.bpe.encode_fragment(raw)])
+        out = self.old.get(raw)
+        if out is None:
+            out = "".join([f",{i}" for i in self.bpe.encode_fragment(raw)])
         if len(raw) <= CACHE_BYTES:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[raw] = out
         return out
