@@ -52,7 +52,7 @@ def test_fragments_merge_as_one_merge_at_a_time_does(own):
     rng = random.Random(3)
     for _ in range(300):
         raw = "".join(rng.choice("thesaionr é") for _ in range(rng.randrange(1, 90))).encode()
-        assert own._merge(raw) == naive(own, raw)
+        assert own._merge(raw) == own._merge_many([own.byte_ids[b] for b in raw]) == naive(own, raw)
 
 
 def test_frame(odd_docs, no_docs, library):
