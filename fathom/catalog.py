@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("index", "search", "neighbours", "density", "labelling", "curation", "map_view", "metadata", "vocabulary", "navigation", "albums")
+MODULES = ("index", "search", "neighbours", "density", "labelling", "curation", "map_view", "metadata", "vocabulary", "navigation", "albums", "upkeep")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -61,3 +61,11 @@ def relative_path(path: Column, roots: list[str]) -> Column:
 
 def inside(path: Column, root: str) -> Column:
     return path.startswith(root.rstrip("/") + "/")
+
+
+def canonical(path: Column) -> Column:
+    """The path without empty parts, . and ..; what would go above the top stays at the top."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))

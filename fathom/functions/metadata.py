@@ -219,3 +219,16 @@ def referenced_files(v: Column) -> Column:
         named("$.ref_images", "$.config.image.image_name"), named("$.control_layers", "$.image.image_name"), named("$.raster_layers", "$.image.image_name")
     )
     return F.filter(every, lambda x: x.isNotNull() & (x != ""))
+
+
+def unknown_fields(json: Column, known: list[str]) -> Column:
+    """The top-level fields of a JSON record that are not known."""
+    return F.array_except(F.json_object_keys(json), F.array(*map(F.lit, known)))
+
+
+def accepted(json: Column, version: Column, known: dict[int, list[str]]) -> Column:
+    """Whether a record may have the fields that it has: a version with a list has these only, any other may have more."""
+    out = F.lit(True)
+    for stated, fields in known.items():
+        out = F.when(version == stated, F.size(unknown_fields(json, fields)) == 0).otherwise(out)
+    return out
