@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; only where that is unset (tests, one machine) a local one is made."""
@@ -22,10 +24,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one job. Each is a Parquet folder, so a later read has sizes for the planner and needs no recomputation."""
+    """Tables of one job. Each is a Parquet folder, so a later read has sizes for the planner and needs no recomputation.
+
+    A tidy job has the shuffle files of a table removed as soon as it is written, not when the driver next collects garbage.
+    """
 
-    def __init__(self, spark: SparkSession, job: str):
+    def __init__(self, spark: SparkSession, job: str, tidy: bool = False):
         self.spark = spark
+        self.tidy = tidy
         self.folder = f"{scratch_root(spark)}/{job}-{uuid.uuid4().hex}"
         self._n = 0
 
@@ -35,7 +41,16 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        if self.tidy:
+            self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy and before is None:
+                self.spark.conf.unset(_CLEANUP)
+            elif self.tidy:
+                self.spark.conf.set(_CLEANUP, before)
         return self._read(df, path)
 
     def _read(self, df: DataFrame, path: str) -> DataFrame:
