@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontaminate, exact_dedup, extract, near_dedup, quality, secrets, substring_dedup, toxicity, warc
+from fathom.llm import bpe, decontaminate, exact_dedup, extract, fingerprint, near_dedup, quality, secrets, substring_dedup, toxicity, warc
 from fathom.sources.tables import table
 
 
@@ -51,9 +51,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op6_substring_dedup, op7_quality, op8_warc, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op6_substring_dedup, op7_quality, op8_warc, op9_bpe, op10_toxicity, op13_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {"op1_secret_scan": secrets.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op13_fingerprint": fingerprint.ORACLE_SQL}
