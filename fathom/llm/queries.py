@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontaminate, exact_dedup, extract, fingerprint, near_dedup, prefix_trie, quality, secrets, substring_dedup, toxicity, warc
+from fathom.llm import bpe, decontaminate, exact_dedup, extract, fingerprint, hard_negatives, near_dedup, prefix_trie, quality, secrets, substring_dedup, toxicity, warc
 from fathom.sources.tables import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -60,8 +64,8 @@ def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op6_substring_dedup, op7_quality, op8_warc, op9_bpe, op10_toxicity, op12_prefix_trie, op13_fingerprint)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_extract, op3_near_dedup, op4_exact_dedup, op5_decontaminate, op6_substring_dedup, op7_quality, op8_warc, op9_bpe, op10_toxicity, op11_hard_negatives, op12_prefix_trie, op13_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_fingerprint": fingerprint.ORACLE_SQL}
+    return {"op1_secret_scan": secrets.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_fingerprint": fingerprint.ORACLE_SQL}
