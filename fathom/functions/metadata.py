@@ -34,6 +34,16 @@ def text_at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def kind_at(v: Column, path: str) -> Column:
+    """STRING, BIGINT, OBJECT<...>, ARRAY<...> and so on; null where there is nothing."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def plain_text_at(v: Column, path: str) -> Column:
+    """The text at a path that holds a text, whatever its first character; null for an object, a list or a number."""
+    return F.when(kind_at(v, path) == "STRING", text_at(v, path))
+
+
 def schema_version(v: Column) -> Column:
     """2, 3 or 5: as stated, else by the application's version, else by keys that only one version has."""
     stated = F.try_variant_get(v, "$.metadata_version", "int")
@@ -53,8 +63,7 @@ def schema_version(v: Column) -> Column:
 
 def positive_prompt(v: Column) -> Column:
     listed = text_at(v, "$.image.prompt[0].prompt")
-    plain = F.when(~F.coalesce(text_at(v, "$.image.prompt"), F.lit("")).startswith("["), text_at(v, "$.image.prompt"))
-    return F.coalesce(F.when(schema_version(v) == 2, F.coalesce(listed, plain)).otherwise(text_at(v, "$.positive_prompt")), F.lit(""))
+    return F.coalesce(F.when(schema_version(v) == 2, F.coalesce(listed, plain_text_at(v, "$.image.prompt"))).otherwise(text_at(v, "$.positive_prompt")), F.lit(""))
 
 
 def negative_prompt(v: Column) -> Column:
@@ -64,7 +73,7 @@ def negative_prompt(v: Column) -> Column:
 def model_name(v: Column) -> Column:
     old = F.coalesce(text_at(v, "$.model_weights"), text_at(v, "$.model"))
     named = F.coalesce(text_at(v, "$.model.name"), text_at(v, "$.model.model_name"))
-    new = F.coalesce(named, F.when(~F.coalesce(text_at(v, "$.model"), F.lit("")).startswith("{"), text_at(v, "$.model")))
+    new = F.coalesce(named, plain_text_at(v, "$.model"))
     return F.coalesce(F.when(schema_version(v) == 2, old).otherwise(new), F.lit(""))
 
 
@@ -145,8 +154,25 @@ EXIF_FIELDS = (
 )
 
 
-def exposure_text(seconds: Column) -> Column:
-    return F.when(seconds < 1, F.format_string("1/%ds", F.floor(1 / seconds).cast("int"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
+def float_text(x: Column) -> Column:
+    """A double as the shortest decimal that reads back: 4.0, 0.3333333333333333, 1e-05."""
+    s = x.cast("string")
+    mantissa, power = F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"\.0$", ""), F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
+    plain = F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0*$", "$1")
+    power_text = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(~F.contains(s, F.lit("E")), s).when((power >= 16) | (power < -4), power_text).otherwise(plain)
+
+
+def number_text(v: Column, path: str) -> Column:
+    """A value as it reads in a record: whole numbers without a point, all others with one; texts as they are."""
+    kind = kind_at(v, path)
+    return F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), float_text(F.try_variant_get(v, path, "double"))).otherwise(text_at(v, path))
+
+
+def exposure_text(seconds: Column, said: Column | None = None) -> Column:
+    """1/n s below a second; from there the number as said, or as a double reads."""
+    whole = float_text(seconds) if said is None else said
+    return F.when(seconds < 1, F.format_string("1/%ds", F.floor(1 / seconds).cast("int"))).otherwise(F.concat(whole, F.lit("s")))
 
 
 def coded(value: Column, names: dict[int, str], other: str = "") -> Column:
@@ -157,15 +183,18 @@ def coded(value: Column, names: dict[int, str], other: str = "") -> Column:
     return out
 
 
-def exif_text(v: Column, field: str) -> Column:
-    """The text of one field of an EXIF record (a variant); N/A for a null value, null for a field that is not there."""
+def exif_text(v: Column, field: str, keys: Column | None = None) -> Column:
+    """The text of one field of an EXIF record (a variant); N/A for a null value, null for a field that is not there.
+
+    keys: the record's fields, for callers that read several.
+    """
     path = f"$.{field}"
     text, number, whole = (F.try_variant_get(v, path, kind) for kind in ("string", "double", "int"))
     if field == "ExposureTime":
-        out = F.when(number < 1, exposure_text(number)).otherwise(F.concat(text, F.lit("s")))
+        out = exposure_text(number, number_text(v, path))
     elif field in ("FNumber", "FocalLength", "GPSAltitude"):
         before, after = {"FNumber": ("f/", ""), "FocalLength": ("", "mm"), "GPSAltitude": ("", "m")}[field]
-        out = F.concat(F.lit(before), text, F.lit(after))
+        out = F.concat(F.lit(before), number_text(v, path), F.lit(after))
     elif field in ("GPSLatitudeDecimal", "GPSLongitudeDecimal"):
         out = F.format_string("%.6f°", number)
     elif field == "Flash":
@@ -177,19 +206,23 @@ def exif_text(v: Column, field: str) -> Column:
     elif field in ("ImageWidth", "ImageLength", "ExifImageWidth", "ExifImageHeight"):
         out = F.concat(text, F.lit(" pixels"))
     else:
-        kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        kind = kind_at(v, path)
         out = F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.format_string("%.2f", number)).otherwise(text)
-    named = F.array_contains(F.json_object_keys(F.to_json(v)), field)
-    return F.when(named, F.coalesce(out, F.lit("N/A")))
+    own = F.json_object_keys(F.to_json(v)) if keys is None else keys
+    return F.when(F.array_contains(own, field), F.coalesce(out, F.lit("N/A")))
 
 
 def exif_table(v: Column) -> Column:
     """The fields to show, in order: array of (label, value). Of fields with one label the first that is there counts."""
-    by_label: dict[str, list[Column]] = {}
-    for field, label in EXIF_FIELDS:
-        by_label.setdefault(label, []).append(exif_text(v, field))
-    rows = [F.struct(F.lit(label).alias("label"), F.coalesce(*texts).alias("value")) for label, texts in by_label.items()]
-    return F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
+
+    def of(keys: Column) -> Column:
+        by_label: dict[str, list[Column]] = {}
+        for field, label in EXIF_FIELDS:
+            by_label.setdefault(label, []).append(exif_text(v, field, keys))
+        rows = [F.struct(F.lit(label).alias("label"), F.coalesce(*texts).alias("value")) for label, texts in by_label.items()]
+        return F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
+
+    return F.transform(F.array(F.json_object_keys(F.to_json(v))), of)[0]
 
 
 def has_generation(v: Column) -> Column:
@@ -198,15 +231,22 @@ def has_generation(v: Column) -> Column:
     return has("$.app_version") | has("$.generation_mode") | has("$.canvas_v2_metadata")
 
 
+def _scalar(json: Column):
+    """Whether a field holds no object and no list, by the kind of its value and not by its text."""
+    kinds = F.transform_values(F.from_json(json, "map<string,variant>"), lambda k, x: F.schema_of_variant(x))
+    return lambda k: ~F.coalesce(F.try_element_at(kinds, k), F.lit("VOID")).rlike("^(OBJECT|ARRAY)")
+
+
 def flat_scalars(json: Column) -> Column:
     """The top-level scalars of a JSON record as a map of texts; objects and lists are left out."""
-    own = F.from_json(json, "map<string,string>")
-    return F.map_filter(own, lambda k, x: ~F.coalesce(F.ltrim(x), F.lit("")).rlike(r"^[\[{]"))
+    scalar = _scalar(json)
+    return F.map_filter(F.from_json(json, "map<string,string>"), lambda k, x: scalar(k))
 
 
 def is_flat(json: Column) -> Column:
     """Whether a record has scalars only."""
-    return F.cardinality(flat_scalars(json)) == F.cardinality(F.from_json(json, "map<string,string>"))
+    scalar = _scalar(json)
+    return F.forall(F.json_object_keys(json), scalar)
 
 
 def referenced_files(v: Column) -> Column:

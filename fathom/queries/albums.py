@@ -65,30 +65,30 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_partkey, 'Shutter Speed=1/' || p_size || 's; Flash=' || CASE WHEN p_size % 4 = 0 THEN 'No Flash' WHEN p_size % 4 = 1 THEN 'Flash Fired' ELSE 'Flash Mode ' || (p_size % 4) END "
-    "|| '; White Balance=' || CASE p_size % 3 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Manual' ELSE 'Mode 2' END || '; Width=' || p_size || ' pixels; GPS Latitude=' || printf('%.6f', p_retailprice / 100) || '°' AS said FROM part WHERE p_size > 1"
+    "SELECT p_partkey, 'Aperture=f/' || (p_size / 2)::DOUBLE || '; Shutter Speed=' || CASE WHEN p_size = 1 THEN '1.0s' ELSE '1/' || p_size || 's' END || '; Focal Length=' || p_size || 'mm; Flash=' || CASE WHEN p_size % 4 = 0 THEN 'No Flash' WHEN p_size % 4 = 1 THEN 'Flash Fired' ELSE 'Flash Mode ' || (p_size % 4) END "
+    "|| '; White Balance=' || CASE p_size % 3 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Manual' ELSE 'Mode 2' END || '; Width=' || p_size || ' pixels; GPS Latitude=' || printf('%.6f', p_retailprice / 100) || '°; GPS Altitude=' || (p_partkey % 50)::DOUBLE || 'm' AS said FROM part"
 )
 def exif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shown fields of EXIF records, in order; of two widths the first."""
     size = F.col("p_size")
     record = F.to_json(F.struct(
-        (F.lit(1.0) / size).alias("ExposureTime"), (size + 7).alias("ExifImageWidth"), size.alias("ImageWidth"), (size % 4).alias("Flash"),
+        (size / 2).alias("FNumber"), (F.lit(1.0) / size).alias("ExposureTime"), size.alias("FocalLength"), (F.col("p_partkey") % 50).cast("double").alias("GPSAltitude"), (size + 7).alias("ExifImageWidth"), size.alias("ImageWidth"), (size % 4).alias("Flash"),
         (size % 3).alias("WhiteBalance"), (F.col("p_retailprice") / 100).alias("GPSLatitudeDecimal"), F.lit("x").alias("Unknown"),
     ))
     shown = md.exif_table(F.parse_json(record))
     said = F.array_join(F.transform(shown, lambda r: F.concat(r["label"], F.lit("="), r["value"])), "; ")
-    return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").where("p_size > 1").select("p_partkey", said.alias("said"))
+    return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select("p_partkey", said.alias("said"))
 
 
 @query(
     "SELECT event_id, 'mov,mp4' AS container, (user_id % 60 + 0.5 + 60 * (event_id % 7))::DOUBLE AS duration, CASE WHEN event_id % 5 <> 0 THEN 'h264' END AS codec, CASE WHEN event_id % 5 <> 0 THEN (24 + user_id % 7)::DOUBLE END AS fps FROM events"
 )
 def probed_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of a video tool, with a misleading tag, and with nothing but cover art in every fifth."""
+    """Reports of a video tool with tags that look like its own lines, and with nothing but cover art in every fifth."""
     clock = F.format_string("00:%02d:%02d.50", F.col("event_id") % 7, F.col("user_id") % 60)
     art = F.when(F.col("event_id") % 5 == 0, " (attached pic)").otherwise("")
     banner = F.concat(
-        F.lit("Input #0, mov,mp4, from '/Trip, from Rome/clip.mp4':\n  Metadata:\n    comment         : x\n                    : Duration: 12:34:56.00\n    Stream #0:0: Video: fake, 99 fps\n  Duration: "),
+        F.lit("Input #0, mov,mp4, from 'shows, 2019, from afar.mov':\n  Metadata:\n    title           : holiday\n                    : Duration: 99:59:59.00\n    Stream #7:1: Video: noise, 1 fps\n  Duration: "),
         clock, F.lit(", start: 0.0\n  Stream #0:1: Audio: aac, 48000 Hz\n  Stream #0:0[0x1](und): Video: h264 (High), 640x480, "), (F.col("user_id") % 7 + 24).cast("string"), F.lit(" fps"), art,
     )
     e = table(spark, sf_dir, "events", "event_id", "user_id")
@@ -96,7 +96,7 @@ def probed_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, event_id % 4 = 0 AS generated, event_id % 3 <> 0 AS flat, CASE WHEN event_id % 4 = 0 THEN 'app_version=3.1;' ELSE '' END || 'k=' || (props::JSON->>'$.k') AS scalars, CASE WHEN event_id % 3 = 0 THEN 'r' || user_id || ',c' || user_id ELSE '' END AS refs FROM events"
+    "SELECT event_id, event_id % 4 = 0 AS generated, event_id % 3 <> 0 AS flat, CASE WHEN event_id % 4 = 0 THEN 'app_version=3.1;' ELSE '' END || 'k=' || (props::JSON->>'$.k') || ';said=' || CASE user_id % 3 WHEN 0 THEN '[cat] ' WHEN 1 THEN '{dog} ' ELSE '' END || event_type AS scalars, CASE WHEN event_id % 3 = 0 THEN 'r' || user_id || ',c' || user_id ELSE '' END AS refs FROM events"
 )
 def record_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a record is of a generated image, whether it is flat, its scalars and the files that it refers to."""
@@ -104,9 +104,9 @@ def record_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     refs = F.concat(F.lit(', "ref_images": [{"config": {"image": {"image_name": "r'), user, F.lit('"}}}, {"config": {}}], "control_layers": [{"image": {"image_name": "c'), user, F.lit('"}}]'))
     record = F.concat(
-        F.lit("{"), F.when(F.col("event_id") % 4 == 0, '"app_version": "3.1", ').otherwise(""), F.lit('"k": '), k, F.when(F.col("event_id") % 3 == 0, refs).otherwise(""), F.lit("}")
+        F.lit("{"), F.when(F.col("event_id") % 4 == 0, '"app_version": "3.1", ').otherwise(""), F.lit('"k": '), k, F.lit(', "said": "'), F.element_at(F.array(F.lit("[cat] "), F.lit("{dog} "), F.lit("")), (F.col("user_id") % 3 + 1).cast("int")), F.col("event_type"), F.lit('"'), F.when(F.col("event_id") % 3 == 0, refs).otherwise(""), F.lit("}")
     )
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "props").withColumn("r", record).withColumn("v", F.parse_json("r"))
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").withColumn("r", record).withColumn("v", F.parse_json("r"))
     said = F.array_join(F.transform(F.map_entries(md.flat_scalars(F.col("r"))), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
     return e.select(
         "event_id", md.has_generation(F.col("v")).alias("generated"), md.is_flat(F.col("r")).alias("flat"), said.alias("scalars"),

@@ -83,7 +83,7 @@ def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECORD = """CONCAT(CASE event_id % 3
-  WHEN 0 THEN CONCAT('{"app_version":"2.3.1","model_weights":"m', event_id % 4, '","image":{"prompt":[{"prompt":"a cat ', event_id, '"}],"seed":', event_id, '}')
+  WHEN 0 THEN CONCAT('{"app_version":"2.3.1","model_weights":"m', event_id % 4, '","image":{"prompt":', CASE WHEN event_id % 6 = 0 THEN CONCAT('"[a] cat ', event_id, '"') ELSE CONCAT('[{"prompt":"a cat ', event_id, '"}]') END, ',"seed":', event_id, '}')
   WHEN 1 THEN CONCAT('{"app_version":"3.4.0","model":{"model_name":"m', event_id % 4, '"},"positive_prompt":"a cat ', event_id, '","seed":', event_id)
   ELSE CONCAT('{"app_version":"5.6.0","model":{"name":"m', event_id % 4, '"},"positive_prompt":"a cat ', event_id, '","seed":', event_id,
               ',"ref_images":[{"config":{"image":{"image_name":"r', event_id, '.png"}}}]') END,
@@ -92,7 +92,7 @@ _KNOWN = {2: ["app_version", "model_weights", "image"], 3: ["app_version", "mode
 
 
 @query(
-    "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 5 END AS version, 'a cat ' || event_id AS prompt, 'm' || (event_id % 4) AS model, event_id AS seed, CASE WHEN event_id % 3 = 2 THEN 'r' || event_id || '.png' ELSE '' END AS refs, (event_id % 3 = 2 OR event_id % 5 <> 0) AS accepted FROM events"
+    "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 5 END AS version, CASE WHEN event_id % 6 = 0 THEN '[a] cat ' ELSE 'a cat ' END || event_id AS prompt, 'm' || (event_id % 4) AS model, event_id AS seed, CASE WHEN event_id % 3 = 2 THEN 'r' || event_id || '.png' ELSE '' END AS refs, (event_id % 3 = 2 OR event_id % 5 <> 0) AS accepted FROM events"
 )
 def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of three versions written from the table's values, and these values read back from them."""

@@ -324,3 +324,31 @@ def test_texts_of_points(spark):
     rows = spark.createDataFrame([(0, 9, 4, "abbey"), (1, 9, -1, None), (2, 9, 5, "")], "i int, n int, c int, l string")
     got = [r[0] for r in rows.orderBy("i").select(nav.cluster_text(*map(F.col, ("i", "n", "c", "l")))).collect()]
     assert got == ["1/9 (Cluster 4 · abbey)", "2/9 (unclustered)", "3/9 (Cluster 5)"]
+
+
+def test_records_are_read_by_kind(spark):
+    """Texts that begin like a list or an object are texts."""
+    old = F.parse_json(F.lit('{"model_weights": "w", "image": {"prompt": "[cat] sitting", "seed": 1}}'))
+    assert value(spark, md.positive_prompt(old)) == "[cat] sitting"
+    assert value(spark, md.model_name(F.parse_json(F.lit('{"app_version": "5.0", "model": "{m}"}')))) == "{m}"
+    record = F.lit('{"prompt": "[cat] sitting", "seed": 3, "w": 0.5, "none": null, "list": [1], "map": {"a": 1}, "odd": "{x"}')
+    assert value(spark, md.flat_scalars(record)) == {"prompt": "[cat] sitting", "seed": "3", "w": "0.5", "none": None, "odd": "{x"}
+    assert value(spark, md.is_flat(record)) is False and value(spark, md.is_flat(F.lit('{"prompt": "[cat", "none": null}'))) is True
+
+
+def test_exif_numbers_keep_their_point(spark):
+    record = F.parse_json(F.lit('{"FNumber": 4.0, "FocalLength": 50, "ExposureTime": 1.0, "GPSAltitude": 12.50, "Flash": 77, "Software": 2.345, "Make": null}'))
+    got = {r["label"]: r["value"] for r in value(spark, md.exif_table(record))}
+    assert got == {"Camera Make": "N/A", "Software": f"{2.345:.2f}", "Aperture": "f/4.0", "Shutter Speed": "1.0s", "Focal Length": "50mm", "Flash": "Flash Mode 77", "GPS Altitude": "12.5m"}
+    for x in (0.25, 1e-3, 1.5e-4, 1e-5, 3e-9, 123456.0, 1e7, 12345678.9, 1e15, 1e16, 3e20, 100.0, 0.0, -7.25e8):
+        assert value(spark, md.float_text(F.lit(x))) == repr(x)
+
+
+def test_report_of_a_video(spark):
+    from fathom.functions import probe
+
+    report = "Input #0, ogg,x, from 'a, from b':\r\n  Metadata:\r\n    k : v\r\n\r\n  Duration: N/A, start: 1\n  Stream #0:0: Video: png, 1 fps (attached pic)\n    Metadata:\n      n : Duration: 1:00:00\n  Stream #0:1(eng): Video: vp9 (Profile 0), yuv, 640x480, 29.97 fps, 30 tbr"
+    assert tuple(value(spark, probe.probed(F.lit(report)))) == ("ogg,x", None, "vp9", 29.97)
+    assert tuple(value(spark, probe.probed(F.lit("nothing of the kind")))) == (None,) * 4
+    assert tuple(value(spark, probe.probed(F.lit("  Duration: 01:02:03.5")))) == (None, 3723.5, None, None)
+    assert value(spark, probe.report_lines(F.lit(" a\n  Metadata:\n    x\n     Metadata:\n    y\n  b"))) == ["a", "b"]
