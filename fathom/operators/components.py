@@ -3,6 +3,7 @@
 Each round is two aggregations and two equi-joins; a hub's minimum is aggregated before the shuffle and its edges are dealt
 by a join that adaptive execution can split, so no node's neighbours meet in one task. Rounds are cut by written tables.
 Before the first round every partition joins what it holds by union-find, which shortens paths and drops repeated edges.
+A written table of FEW edges at most is finished by union-find in one task; its size is counted, never guessed.
 """
 
 from __future__ import annotations
@@ -16,27 +17,45 @@ from pyspark.sql import functions as F
 from fathom.plans.scratch import Scratch
 
 
+FEW = 250_000
+
+
+class _Groups(dict):
+    """Union-find: node -> a smaller node of its group, or itself."""
+
+    def find(self, x: int) -> int:
+        top = x
+        while self.get(top, top) != top:
+            top = self[top]
+        while self.get(x, x) != top:
+            self[x], x = top, self[x]
+        return top
+
+    def join(self, batch: pa.RecordBatch) -> None:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = self.find(u), self.find(v)
+            if u != v:
+                self[max(u, v)] = min(u, v)
+                self.setdefault(min(u, v), min(u, v))
+
+    def rows(self, names: list[str], roots: bool) -> pa.RecordBatch:
+        own = [(x, y) for x, y in ((x, self.find(x)) for x in list(self)) if roots or x != y]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64())], names=names)
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of each batch: every node with its smallest."""
+    """The edges of each batch as every node with its smallest."""
     for b in batches:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            top = x
-            while root.get(top, top) != top:
-                top = root[top]
-            while root.get(x, x) != top:
-                root[x], x = top, root[x]
-            return top
-
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            u, v = find(u), find(v)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-                root.setdefault(min(u, v), min(u, v))
-        own = [(x, find(x)) for x in root]
-        own = [(x, y) for x, y in own if x != y]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64())], names=["u", "v"])
+        groups = _Groups()
+        groups.join(b)
+        yield groups.rows(["u", "v"], roots=False)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = _Groups()
+    for b in batches:
+        groups.join(b)
+    yield groups.rows(["node", "component"], roots=True)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -64,6 +83,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
+        if mark[0] <= FEW:
+            return now.repartition(1).mapInArrow(_whole, "node long, component long")
         seen, before = mark, now
         now = scratch.table(_small_star(_large_star(now)), "stars")
         scratch.drop(before)

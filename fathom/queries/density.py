@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fathom.catalog import query
 from fathom.operators import density
+from fathom.operators import layout as neighbour
+from fathom.sources.tables import table
 from fathom.sources.surrogates import LAYOUT_SQL, layout
 
 _DBSCAN = f"""{LAYOUT_SQL},
@@ -37,3 +39,26 @@ def adaptive_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps = density.resolved_eps(points, node="vec_id")
     share = density.top_share(density.dbscan(points, eps, node="vec_id"))
     return spark.range(1).select(F.lit(eps).alias("eps"), F.lit(share).alias("top_share"))
+
+
+_RADII = (0.4, 0.2, 0.1)
+_PAIRS = " UNION ALL ".join(f"SELECT {r}::DOUBLE AS eps, count(*) AS pairs FROM layout a JOIN layout b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {r}::DOUBLE * {r}::DOUBLE" for r in _RADII)
+
+
+@query(f"WITH {LAYOUT_SQL}, p AS ({_PAIRS}) SELECT eps, true AS bounded, pairs > 4 * n AS over FROM p, (SELECT count(*) AS n FROM layout)")
+def pair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For three radii: whether the bounds from squares agree with the decision over four pairs a point, and the decision."""
+    points = layout(spark, sf_dir)
+    budget = 4 * points.count()
+    bounds = density.pair_bounds(points, list(_RADII), "vec_id")
+    over = [density.exceeds(points, r, budget, "vec_id") for r in _RADII]
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(r).alias("eps"), F.lit((lo <= budget or o) and (up > budget or not o)).alias("bounded"), F.lit(o).alias("over")) for r, (lo, up), o in zip(_RADII, bounds, over)])).alias("r"))
+    return rows.select("r.*")
+
+
+@query()
+def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded layout of all vectors by their neighbours; to the third place, as sums differ in their last digits."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    at = neighbour.neighbour_layout(e.select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("v")))
+    return at.select(F.col("node").alias("vec_id"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))

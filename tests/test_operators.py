@@ -81,7 +81,12 @@ def test_components(spark, n, k, seed):
     assert got == components_by_hand(edges)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, few):
+    """By rounds of stars, and by one task where the counted edges are few."""
+    from fathom.operators import components
+
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7), Scratch(spark, "t")).collect()}
     assert set(got.values()) == {0, 1000} and len(got) == 601
