@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +34,67 @@ def refreshed(results: DataFrame, total: int, idx: str = "idx") -> DataFrame:
     return results.where((F.col(idx) >= 0) & (F.col(idx) < total))
 
 
-def shuffled(rows: DataFrame, seed: int, shown: int | None = None, idx: str = "idx") -> DataFrame:
-    """rows with _turn, a key to deal them by: each once in a round, and the one that is shown never first.
+#: A prime below 2**31, so that squares of remainders fit a long, and the factor of a common generator modulo it.
+_PRIME, _FACTOR = 2147483647, 48271
+_MIXES, _WALK = 6, 64
+
+
+def _shape(total: int) -> tuple[int, int]:
+    """a * b, the least such rectangle that holds total places and is about square."""
+    a = max(1, math.isqrt(max(0, total - 1)) + 1)
+    return a, max(1, -(-total // a))
+
+
+def _keys(seed: int, round_: int) -> list[int]:
+    """The keys of the mixing steps; the lowest bit says which half a step changes."""
+    digest = hashlib.sha256(f"{seed}/{round_}".encode()).digest()
+    return [int.from_bytes(digest[4 * i : 4 * i + 4], "big") % _PRIME * 2 + i % 2 for i in range(_MIXES)]
+
+
+def row_in_round(place: int, total: int, seed: int, round_: int) -> int:
+    """The row that has a place in a round, without making the round."""
+    a, b = _shape(total)
+    while True:
+        for key in reversed(_keys(seed, round_)):
+            left, right = divmod(place, b)
+            h = ((right if key % 2 == 0 else left) * _FACTOR + key // 2) % _PRIME
+            h = h * h % _PRIME
+            place = (left - h) % a * b + right if key % 2 == 0 else left * b + (right - h) % b
+        if place < total:
+            return place
+
+
+def place_in_round(idx: Column, total: int, seed: int, round_: int) -> Column:
+    """The place of a row, 0 to total - 1, in a round of all rows in random order: a keyed permutation, computed row by row.
+
+    A row number is a place in an a * b rectangle, and six steps shift one of its two coordinates by a hash of the other. A
+    number that comes out beyond total goes through the steps again. Fewer than a places lie beyond, about one in a, so 64
+    times are enough: always where a is at most 64, and otherwise but for a chance of a to the power of -64.
+    """
+    a, b = _shape(total)
+    keys = F.array(*[F.lit(k).cast("long") for k in _keys(seed, round_)])
+
+    def step(x: Column, key: Column) -> Column:
+        left, right = F.call_function("div", x, F.lit(b)), x % b
+        h = (F.when(key % 2 == 0, right).otherwise(left) * _FACTOR + F.shiftright(key, 1)) % _PRIME
+        h = h * h % _PRIME
+        return F.when(key % 2 == 0, (left + h) % a * b + right).otherwise(left * b + (right + h) % b)
+
+    once = lambda x: F.aggregate(keys, x, step)
+    walk = F.sequence(F.lit(1), F.lit(min(a, _WALK)))
+    return F.aggregate(walk, once(idx.cast("long")), lambda x, _: F.when(x < total, x).otherwise(once(x)))
+
+
+def shuffled(rows: DataFrame, total: int, seed: int, round_: int = 0, shown: int | None = None, idx: str = "idx") -> DataFrame:
+    """rows with _turn, their place in a round: each of 0 to total - 1 once. A round neither sorts nor shuffles.
 
-    The key is a hash, so no sort is needed to make a round; the shown row takes the last turn.
+    Where the row that is shown would come first, it changes places with the last.
     """
-    turn = F.xxhash64(F.col(idx), F.lit(seed))
-    return rows.withColumn("_turn", F.when(F.col(idx) == shown, F.lit((1 << 63) - 1)).otherwise(turn) if shown is not None else turn)
+    turn = place_in_round(F.col(idx), total, seed, round_)
+    if shown is not None and total > 1 and row_in_round(0, total, seed, round_) == shown:
+        last = row_in_round(total - 1, total, seed, round_)
+        turn = F.when(F.col(idx) == shown, F.lit(total - 1).cast("long")).when(F.col(idx) == last, F.lit(0).cast("long")).otherwise(turn)
+    return rows.withColumn("_turn", turn)
 
 
 def recentred(at: Column, low: Column, high: Column, pad: float = 0.1) -> Column:

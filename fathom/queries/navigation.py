@@ -97,3 +97,24 @@ def curation_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MEDIA_SQL} SELECT bool_or(filename LIKE '%.mp4') AS has_video FROM media0")
 def any_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).agg(F.bool_or(F.col("filename").endswith(".mp4")).alias("has_video"))
+
+
+_KEYS = ", ".join(f"{k}::BIGINT" for k in nav._keys(7, 3))
+
+
+def _once(x: str) -> str:
+    h = lambda v: f"((({v}) * {nav._FACTOR} + k // 2) % {nav._PRIME})"
+    right, left = h("z % b"), h("z // b")
+    return f"list_reduce(list_prepend({x}, [{_KEYS}]), lambda z, k: CASE WHEN k % 2 = 0 THEN (z // b + {right} * {right} % {nav._PRIME}) % a * b + z % b ELSE z // b * b + (z % b + {left} * {left} % {nav._PRIME}) % b END)"
+
+
+@query(
+    f"""WITH s AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM embeddings), c AS (SELECT n, a, (n + a - 1) // a AS b FROM s),
+    p AS (SELECT vec_id, list_reduce(list_prepend({_once('vec_id')}, range(1, a + 1)), lambda y, i: CASE WHEN y < n THEN y ELSE {_once('y')} END) AS place, n FROM embeddings, c),
+    q AS (SELECT vec_id, place, n, vec_id = 0 AND place = 0 AS again FROM p)
+    SELECT vec_id, CASE WHEN (SELECT bool_or(again) FROM q) AND place IN (0, n - 1) THEN n - 1 - place ELSE place END AS turn FROM q"""
+)
+def random_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's turn in a seeded random round, in which row 0, being shown, is not the first."""
+    e = table(spark, sf_dir, "embeddings", "vec_id")
+    return nav.shuffled(e, e.count(), seed=7, round_=3, shown=0, idx="vec_id").select("vec_id", F.col("_turn").alias("turn"))

@@ -316,11 +316,22 @@ def test_positions_of_stated_rows(spark):
 
 
 def test_a_shuffled_round_has_each_row_once(spark):
+    """A permutation for any number of rows, the same in both directions, without an exchange; the shown row is not first."""
     from fathom.operators import navigation as nav
 
-    rows = spark.range(50).withColumnRenamed("id", "idx")
-    order = [r["idx"] for r in nav.shuffled(rows, 3, shown=7).orderBy("_turn").collect()]
-    assert sorted(order) == list(range(50)) and order[-1] == 7 and order != sorted(order)
+    for n in (1, 2, 3, 7, 101, 500, 4097):
+        rows = spark.range(n).withColumnRenamed("id", "idx")
+        places = [r[0] for r in rows.select(nav.place_in_round(F.col("idx"), n, 5, 2)).collect()]
+        assert sorted(places) == list(range(n)) and all(nav.row_in_round(p, n, 5, 2) == i for i, p in enumerate(places))
+        first = nav.row_in_round(0, n, 5, 2)
+        dealt = nav.shuffled(rows, n, 5, 2, shown=first)
+        assert "Exchange" not in dealt._jdf.queryExecution().executedPlan().toString()
+        order = [r["idx"] for r in dealt.orderBy("_turn").collect()]
+        assert sorted(order) == list(range(n)) and (n == 1 or order[0] != first and order[-1] == first)
+        assert n < 7 or places != [r[0] for r in rows.select(nav.place_in_round(F.col("idx"), n, 5, 3)).collect()]
+    wide = (1 << 40) + 12345
+    far = spark.range(wide - 50, wide).select("id", nav.place_in_round(F.col("id"), wide, 1, 0).alias("p")).collect()
+    assert all(0 <= r["p"] < wide and nav.row_in_round(r["p"], wide, 1, 0) == r["id"] for r in far)
 
 
 def test_texts_of_points(spark):
