@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.catalog import query
 from fathom.functions import media as m
+from fathom.functions import fixups
 from fathom.functions import metadata as md
 from fathom.functions import text as t
 from fathom.sources.tables import table
@@ -98,3 +99,23 @@ def version_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat(F.col("s_suppkey").cast("string"), F.lit("."), F.col("s_nationkey").cast("string"), F.lit(".3-rc1"))
     text = F.concat(F.lit("["), F.array_join(F.transform(t.version_tuple(version), lambda x: x.cast("string")), ", "), F.lit("]"))
     return table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name").select("s_suppkey", text.alias("version"), t.masked(F.col("s_name")).alias("masked"))
+
+
+_OLD_RECORD = """CONCAT('{"seed":', event_id, CASE event_id % 3
+  WHEN 0 THEN CONCAT(',"ipAdapters":[{"ip_adapter_model":"m', user_id, '","begin_step_percent":', event_id % 7, ',"end_step_percent":[', event_id % 7 + 1, ',', user_id, '],"image":{"image_name":"', event_type, '"}}, 3]')
+  WHEN 1 THEN CONCAT(',"controlnets":[{"beginEndStepPct":[0],"end_step_percent":', user_id, ',"image":{"dataURL":"', event_type, '","type":"old"},"model":"n","t2i_adapter_model":"z"}]')
+  ELSE '' END, '}')"""
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'm' || user_id WHEN 1 THEN 'n' END AS model,
+    CASE event_id % 3 WHEN 0 THEN '[' || (event_id % 7) || ',' || (event_id % 7 + 1) || ',' || user_id || ']' WHEN 1 THEN '[0,' || user_id || ']' END AS span,
+    CASE event_id % 3 WHEN 0 THEN 'file ' || event_type WHEN 1 THEN 'dataURL ' || event_type END AS source, event_id AS seed, event_id % 3 = 2 AS same FROM events"""
+)
+def record_fixups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with older forms of adapters, written from the table's values, and what the rewritten ones hold."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type").withColumn("old", F.expr(_OLD_RECORD))
+    e = e.withColumn("now", fixups.fixed_record(F.col("old")))
+    at = lambda path: F.coalesce(*[F.get_json_object("now", f"$.{k}[0].{path}") for k in ("ipAdapters", "controlnets")])
+    source = F.concat(at("image.type"), F.lit(" "), F.coalesce(at("image.image_name"), at("image.dataURL")))
+    return e.select("event_id", at("model").alias("model"), at("beginEndStepPct").alias("span"), source.alias("source"), F.get_json_object("now", "$.seed").cast("long").alias("seed"), (F.col("now") == F.col("old")).alias("same"))

@@ -368,3 +368,34 @@ def test_report_of_a_video(spark):
     assert tuple(value(spark, probe.probed(F.lit("nothing of the kind")))) == (None,) * 4
     assert tuple(value(spark, probe.probed(F.lit("  Duration: 01:02:03.5")))) == (None, 3723.5, None, None)
     assert value(spark, probe.report_lines(F.lit(" a\n  Metadata:\n    x\n     Metadata:\n    y\n  b"))) == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "old,now",
+    [
+        ('{"t2iAdapters": [{"t2i_adapter_model": {"n": 1}, "ip_adapter_model": "i"}]}', {"t2iAdapters": [{"t2i_adapter_model": {"n": 1}, "ip_adapter_model": "i", "model": "i"}]}),
+        ('{"ipAdapters": [{"model": null, "clip_vision_model": "c"}]}', {"ipAdapters": [{"model": None, "clip_vision_model": "c"}]}),
+        ('{"controlnets": [{"begin_step_percent": 0.25, "end_step_percent": 1}]}', {"controlnets": [{"beginEndStepPct": [0.25, 1]}]}),
+        ('{"controlnets": [{"beginEndStepPct": [0], "end_step_percent": [0.5, 1]}]}', {"controlnets": [{"beginEndStepPct": [0, 0.5, 1]}]}),
+        ('{"controlnets": [{"begin_step_percent": "x", "weight": 2}]}', {"controlnets": [{"weight": 2}]}),
+        ('{"ipAdapters": [{"image": {"dataURL": "d", "image_name": "n", "type": "old"}}]}', {"ipAdapters": [{"image": {"dataURL": "d", "image_name": "n", "type": "dataURL"}}]}),
+        ('{"ipAdapters": [{"image": {"name": "n"}}, 5, {"image": "n"}, {"image": {"q": 1, "type": "t"}}]}', {"ipAdapters": [{"image": {"name": "n", "type": "file"}}, 5, {"image": "n"}, {"image": {"q": 1, "type": "t"}}]}),
+        ('{"other": [{"begin_step_percent": 1}], "ipAdapters": {"begin_step_percent": 1}}', {"other": [{"begin_step_percent": 1}], "ipAdapters": {"begin_step_percent": 1}}),
+    ],
+)
+def test_record_fixups(spark, old, now):
+    import json
+
+    from fathom.functions import fixups
+
+    assert json.loads(value(spark, fixups.fixed_record(F.lit(old)))) == now
+
+
+def test_records_that_need_no_fixing(spark):
+    from fathom.functions import fixups
+
+    for same in ('{"b":  [1]}', "[1]", "{}"):
+        assert value(spark, fixups.fixed_record(F.lit(same))) == same
+    assert value(spark, fixups.fixed_record(F.lit("no json"))) is None
+    assert value(spark, fixups.chunk_text(F.unhex(F.lit("61ff62")))) == "a\ufffdb"
+    assert value(spark, fixups.first_of(F.array(F.lit("text"), F.lit("en")))) == "text" and value(spark, fixups.first_of(F.array().cast("array<string>"))) == ""
