@@ -178,16 +178,40 @@ def fps_by_hand(v, start, k):
     return picks
 
 
+def vectors_of(spark, v):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "idx long, v array<double>").repartition(3)
+
+
 def test_farthest_points(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "CUT_EVERY", 3)
+    monkeypatch.setattr(sampling, "CANDIDATES", 4)
+    monkeypatch.setattr(sampling, "CUT_AT", 3)
     v = np.random.default_rng(6).standard_normal((60, 5))
-    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "idx long, v array<double>").repartition(3)
+    rows = vectors_of(spark, v)
     got = sampling.farthest_points(rows, 8, [0, 7]).orderBy("run", "step").collect()
     assert [r["idx"] for r in got if r["run"] == 0] == fps_by_hand(v, 0, 8)
     assert [r["idx"] for r in got if r["run"] == 1] == fps_by_hand(v, 7, 8)
+    assert [r["step"] for r in got] == [*range(8), *range(8)]
     assert sampling.farthest_points(rows, 100, [3]).count() == 60
 
 
+def test_farthest_points_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    leaders = sampling._leaders
+    monkeypatch.setattr(sampling, "_leaders", lambda *a: rounds.append(1) or leaders(*a))
+    v = np.random.default_rng(7).standard_normal((3000, 16))
+    got = sampling.farthest_points(vectors_of(spark, v), 400, [5, 17]).orderBy("run", "step").collect()
+    assert [r["idx"] for r in got] == fps_by_hand(v, 5, 400) + fps_by_hand(v, 17, 400)
+    assert len(rounds) <= 40
+
+
+def test_farthest_points_among_repeated_rows(spark, monkeypatch):
+    """Of equal rows the first counts, also where the candidates end within them; corners of a square are exact."""
+    monkeypatch.setattr(sampling, "CANDIDATES", 3)
+    v = np.array([(1, 0), (0, 1), (-1, 0), (0, -1)] * 8, float)[::-1]
+    got = sampling.farthest_points(vectors_of(spark, v), 4, [3]).orderBy("step").collect()
+    assert [r["idx"] for r in got] == fps_by_hand(v, 3, 4) == [3, 1, 0, 2]
+
+
 def test_consensus_orders_ties_by_first_pick(spark):
     picks = spark.createDataFrame([(0, 0, 9), (0, 1, 4), (1, 0, 4), (1, 1, 2)], "run int, step int, idx long")
     got = {r["idx"]: r for r in sampling.consensus(picks, 2, 2).collect()}
