@@ -10,6 +10,7 @@ from fathom.functions import media as m
 from fathom.functions import fixups
 from fathom.functions import metadata as md
 from fathom.functions import text as t
+from fathom.sources import headers
 from fathom.sources.tables import table
 
 
@@ -119,3 +120,44 @@ def record_fixups(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda path: F.coalesce(*[F.get_json_object("now", f"$.{k}[0].{path}") for k in ("ipAdapters", "controlnets")])
     source = F.concat(at("image.type"), F.lit(" "), F.coalesce(at("image.image_name"), at("image.dataURL")))
     return e.select("event_id", at("model").alias("model"), at("beginEndStepPct").alias("span"), source.alias("source"), F.get_json_object("now", "$.seed").cast("long").alias("seed"), (F.col("now") == F.col("old")).alias("same"))
+
+
+def _big(n, size: int):
+    return F.unhex(F.right(F.lpad(F.hex(n.cast("long")), F.lit(16), F.lit("0")), F.lit(2 * size)))
+
+
+def _little(n, size: int):
+    return F.unhex(F.concat(*[F.hex(F.substring(_big(n, size), i, 1)) for i in range(size, 0, -1)]))
+
+
+def _bytes(said: str):
+    return F.unhex(F.lit(said.replace(" ", "")))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, (100 + p_partkey % 900)::INT AS w, (50 + p_size * 7)::INT AS h FROM part), "
+    "r AS (SELECT *, k = 3 AND 1 + p_partkey % 8 >= 5 AS turned FROM p) "
+    "SELECT p_partkey, ['png', 'gif', 'bmp', 'jpeg', 'webp', NULL, 'jpeg'][k + 1] AS format, CASE WHEN k = 5 THEN NULL WHEN turned THEN h ELSE w END AS width, CASE WHEN k = 5 THEN NULL WHEN turned THEN w ELSE h END AS height, "
+    "CASE WHEN k = 3 THEN 981173100 + p_partkey * 61 ELSE p_partkey END::DOUBLE AS taken, CASE WHEN k = 0 THEN h::BIGINT END AS seed FROM r"
+)
+def image_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format, upright dimensions, date and seed of images whose heads are made of the parts' numbers; every seventh is cut off."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, w, h = F.col("p_partkey"), 100 + F.col("p_partkey") % 900, 50 + F.col("p_size") * 7
+    said = F.encode(F.concat(F.lit('{"seed": '), h.cast("string"), F.lit("}")), "utf-8")
+    png = F.concat(_bytes("89504E470D0A1A0A 0000000D 49484452"), _big(w, 4), _big(h, 4), _bytes("0802000000 00000000"))
+    png_said = F.concat(png, _big(F.octet_length(said) + 5, 4), _bytes("74455874 6D65746100"), said, _bytes("00000000"))
+    gif = F.concat(_bytes("474946383961"), _little(w, 2), _little(h, 2), _bytes("000000"))
+    bmp = F.concat(_bytes("424D" + "00" * 12 + "28000000"), _little(w, 4), _little(-h, 4))
+    date = F.encode(F.date_format(F.timestamp_seconds(F.lit(981173100) + k * 61), md.EXIF_FORMAT), "utf-8")
+    exif = F.concat(
+        _bytes("FFE10054 457869660000 4D4D002A00000008 0002 0112000300000001"), _big(1 + k % 8, 2), _bytes("0000 876900040000000100000026 00000000 0001 900300020000001400000038 00000000"), date, _bytes("00")
+    )
+    frame = F.concat(_bytes("FFC2000908"), _big(h, 2), _big(w, 2), _bytes("0101"))
+    webp = F.concat(_bytes("52494646 1E000000 57454250 56503858 0A000000 00000000"), _little(w - 1, 3), _little(h - 1, 3))
+    kinds = [png_said, gif, bmp, F.concat(_bytes("FFD8"), exif, frame), webp, F.substring(png, 1, 20), F.concat(_bytes("FFD8 FFFE000461FF"), frame)]
+    made = F.coalesce(*[F.when(k % 7 == i, c) for i, c in enumerate(kinds)])
+    read = p.select("p_partkey", headers.header(made).alias("i")).select("p_partkey", "i.*")
+    width, height = headers.upright(F.col("width"), F.col("height"), F.col("exif"))
+    seed = md.seed(headers.record(F.col("exif"), F.col("texts"), "meta"))
+    return read.select("p_partkey", "format", width.alias("width"), height.alias("height"), headers.taken_at(F.col("exif"), k.cast("double")).alias("taken"), seed.alias("seed"))
