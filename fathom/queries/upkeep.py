@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.catalog import query
 from fathom.functions import media as m
 from fathom.functions import metadata as md
+from fathom.operators import transfers
 from fathom.operators import upkeep as up
 from fathom.sources.derived import staleness
 from fathom.sources.surrogates import LAYOUT_SQL, MEDIA_SQL, files, layout
@@ -120,3 +121,21 @@ def clicked_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of the cluster of point 37 that a filter leaves visible."""
     p = layout(spark, sf_dir).select(F.col("vec_id").alias("idx"), "x", "y", F.col("label").alias("cluster"))
     return up.cluster_results(p, 37, p.where("idx % 3 <> 0"))
+
+
+@query(
+    "WITH s AS (SELECT o_orderkey, 'in/' || o_custkey AS source, CASE WHEN o_custkey % 10 = 0 THEN 'in/x' || o_custkey ELSE 'out/' || o_custkey // 2 END AS dest, "
+    "CASE WHEN o_custkey % 9 = 0 THEN 'denied' WHEN o_custkey % 7 = 0 THEN 'missing' WHEN o_custkey % 10 = 0 THEN 'same' WHEN o_custkey // 2 % 5 = 0 THEN 'exists' END AS own FROM orders), "
+    "w AS (SELECT o_orderkey, first_value(source) OVER d AS winner, row_number() OVER d AS n FROM s WHERE own IS NULL WINDOW d AS (PARTITION BY dest ORDER BY o_orderkey)) "
+    "SELECT s.o_orderkey, coalesce(own, CASE WHEN n = 1 THEN 'ready' WHEN winner = source THEN 'missing' ELSE 'exists' END) AS state FROM s LEFT JOIN w USING (o_orderkey)"
+)
+def transfer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of planned moves, one for each order: repeated sources, taken names, names that two sources want."""
+    k = F.col("o_custkey")
+    half = F.floor(k / 2)
+    dest = F.when(k % 10 == 0, F.concat(F.lit("in/x"), k.cast("string"))).otherwise(F.concat(F.lit("out/"), half.cast("string")))
+    stated = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("in/"), k.cast("string")).alias("source"), dest.alias("dest"),
+        (k % 7 != 0).alias("found"), (k % 9 != 0).alias("allowed"), ((k % 10 != 0) & (half % 5 == 0)).alias("taken"),
+    )
+    return transfers.resolved(stated, "move").select(F.col("id").alias("o_orderkey"), "state")
