@@ -10,6 +10,7 @@ from fathom.functions import media as m
 from fathom.functions import metadata as md
 from fathom.operators import transfers
 from fathom.operators import upkeep as up
+from fathom.sources import catalogue
 from fathom.sources.derived import staleness
 from fathom.sources.surrogates import LAYOUT_SQL, MEDIA_SQL, files, layout
 from fathom.sources.tables import table
@@ -139,3 +140,25 @@ def transfer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 7 != 0).alias("found"), (k % 9 != 0).alias("allowed"), ((k % 10 != 0) & (half % 5 == 0)).alias("taken"),
     )
     return transfers.resolved(stated, "move").select(F.col("id").alias("o_orderkey"), "state")
+
+
+@query(
+    "SELECT c_custkey, 'c' || c_custkey AS name, (CASE WHEN c_custkey % 8 = 0 THEN 0 WHEN c_custkey % 2 = 1 THEN 0.5 WHEN c_custkey % 3 = 2 THEN 0.2 ELSE 0.02 END)::DOUBLE AS floor, "
+    "CASE WHEN c_custkey % 4 <> 0 THEN 'u' END AS user_name, 'board' AS kind, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS n, CASE WHEN c_custkey % 3 = 2 THEN '1.2.0' ELSE '1.1.0' END AS version FROM customer"
+)
+def catalogue_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each customer, migrated by version; every fourth is patched: nulls keep or clear, one field is fixed."""
+    k, said = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    record = text('{"name": "c', said, '", "user": "u", "kind": "board", "floor": ', F.when(k % 2 == 0, "0.2").otherwise("0.5"), "}")
+    patch = text('{"name": null, "user": null, "kind": "folder", "n": ', said, ', "floor": ', F.when(k % 8 == 0, "0").otherwise("null"), "}")
+    c = table(spark, sf_dir, "customer", "c_custkey")
+    records = c.select(said.alias("key"), record.alias("record"), F.when(k % 3 == 2, "1.2.0").when(k % 3 == 1, "1.0.0").alias("version"))
+
+    def lower(own):
+        return F.when(F.get_json_object(own, "$.floor").try_cast("double") == 0.2, catalogue.with_field(own, "floor", F.lit("0.02"))).otherwise(own)
+
+    now = catalogue.migrated(records, [("1.1.0", lower)])
+    out, _ = catalogue.patched(now, c.where(k % 4 == 0).select(said.alias("key"), patch.alias("patch")), ["user"], ["kind"])
+    at = lambda name: F.get_json_object("record", f"$.{name}")
+    return out.select(F.col("key").cast("long").alias("c_custkey"), at("name").alias("name"), at("floor").cast("double").alias("floor"), at("user").alias("user_name"), at("kind").alias("kind"), at("n").cast("long").alias("n"), "version")

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Conflict(RuntimeError):
+    """Another writer came first: read again, and decide again."""
+
+
 class Store:
     """A table under a path. Readers of an older version are not disturbed by a write."""
 
@@ -39,6 +43,39 @@ class Store:
         df.write.mode("errorifexists").parquet(f"{self.path}/v{version}")
         return version
 
+    def current(self) -> tuple[int, tuple[str, ...]]:
+        """The current version (0: none) and the parts added to it, for a write that holds only while both stay so."""
+        version = (self._versions() or [0])[-1]
+        return version, tuple(self._parts(version))
+
+    def replace(self, df: DataFrame, read: tuple[int, tuple[str, ...]]) -> int:
+        """A new version made of what was read; Conflict, and nothing written, if that is no longer current.
+
+        Of several writers that read the same version one gets the next number. A failed write gives its number back; one whose
+        driver died keeps it until `release`. Parts added meanwhile are a conflict too, up to the moment before the last step.
+        """
+        jvm = self.spark.sparkContext._jvm
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        version = read[0] + 1
+        if self.current() != read or not fs.createNewFile(path(f"_claims/v{version}")):
+            raise Conflict(f"{self.path}: version {read[0]} is no longer current or is being replaced")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/_claims/rows-v{version}")
+            if self.current() != read or not fs.rename(path(f"_claims/rows-v{version}"), path(f"v{version}")):
+                raise Conflict(f"{self.path}: version {read[0]} was added to or replaced")
+        except BaseException:
+            self.release(version)
+            raise
+        return version
+
+    def release(self, version: int) -> None:
+        """Gives back the number of a write that has ended without a result."""
+        jvm = self.spark.sparkContext._jvm
+        for name in (f"rows-v{version}", f"v{version}"):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{name}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def append(self, df: DataFrame, part: str) -> None:
         """Rows added to the current version under a name; the same name again replaces what it added."""
         current = (self._versions() or [0])[-1]
