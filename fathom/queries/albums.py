@@ -9,6 +9,8 @@ from fathom.catalog import query
 from fathom.functions import metadata as md
 from fathom.functions import probe
 from fathom.operators import albums as al
+from fathom.operators import archive
+from fathom.plans.scratch import Scratch
 from fathom.sources.tables import table
 
 
@@ -51,6 +53,22 @@ def selection_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.selection_bytes(d.select(F.col("n_chars").alias("size"), (F.col("doc_id") % 4 != 1).alias("readable")), 2_000_000_000)
 
 
+@query(
+    "WITH d AS (SELECT doc_id, length('doc_' || doc_id || '.txt') AS n_name, coalesce(octet_length(encode(text)), 0) AS n FROM documents), "
+    "a AS (SELECT count(*) AS members, sum(n + n_name + 30) AS whole, max(n) AS most FROM d), "
+    "w AS (SELECT *, CASE WHEN members >= 65535 OR greatest(whole, most) >= 4294967295 THEN 1 ELSE 0 END AS wide FROM a) "
+    "SELECT doc_id, coalesce(sum(n + n_name + 30 + 20 * wide) OVER b, 0)::BIGINT AS entry_at, (whole + 20 * wide * members + coalesce(sum(n_name + 46 + 28 * wide) OVER b, 0))::BIGINT AS record_at "
+    "FROM d, w WINDOW b AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+)
+def archive_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's member and its directory record stand in an archive of all texts, stored as they are."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    placed, _, _ = archive.arranged(d.select(F.col("doc_id").alias("id"), name.alias("source"), name.alias("name"), size.alias("size"), size.alias("packed")), Scratch(spark, "archive"))
+    return placed.select(F.col("id").alias("doc_id"), "entry_at", "record_at")
+
+
 @query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0")
 def dropped_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey").withColumnRenamed("o_orderkey", "path")
