@@ -44,19 +44,32 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items, as an automaton over numbered words."""
+    """The windows of a block of items, as an automaton over numbered words.
+
+    An occurrence gives a window's number. Windows that the same items have, such as those of a common template, are one group,
+    and a group's items are looked up once for a text, however often its windows occur.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        self.names: list[tuple[str, ...]] = []
+        places: dict[str, int] = {}
+        having: list[list[int]] = []  # of each window, the items
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for name, own in items:
+            item = places.setdefault(name, len(places))
             symbols = [self.number.setdefault(w, len(self.number) + 1) for w in own]
             for i in range(max(1, len(symbols) - window + 1)) if symbols else ():
                 key = tuple(symbols[i : i + window])
-                length, names = self.automaton.get(key, (len(key), ()))
-                if name not in names:
-                    self.automaton.add_word(key, (length, (*names, name)))
+                at = self.automaton.get(key, None)
+                if at is None:
+                    self.automaton.add_word(key, (len(key), len(having)))
+                    having.append([item])
+                elif having[at[1]][-1] != item:
+                    having[at[1]].append(item)
+        groups: dict[tuple[int, ...], int] = {}
+        self.group = [groups.setdefault(tuple(own), len(groups)) for own in having]
+        names = list(places)
+        self.items = [[names[i] for i in own] for own in groups]
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
@@ -70,9 +83,12 @@ def scan(windows: Windows | None, text: str | None) -> tuple[int, np.ndarray, se
     if windows is None or windows.empty or not own:
         return len(own), mask, names
     number = windows.number
+    seen: set[int] = set()
     for end, (length, found) in windows.automaton.iter(tuple([number.get(w, 0) for w in own])):
         mask[end - length + 1 : end + 1] = True
-        names.update(found)
+        seen.add(windows.group[found])
+    for group in seen:
+        names.update(windows.items[group])
     return len(own), mask, names
 
 

@@ -3,10 +3,11 @@
 Writing: every page becomes a response record whose block is an HTTP message with a chunked body, or, where an equal payload
 has a response already, a revisit that names it. A block longer than ``SEGMENT_CHARS`` is cut into a first record and
 continuation records, which carry the origin's id and a segment number; the last carries the total length. Archives are
-gzipped text files of Spark's own writer, with the end of a record as the line end, in the folder that the cluster shares.
+gzipped text files of Spark's own writer, with the end of a record as the line end, in the folder that the cluster shares. A file
+has at most ``RECORDS_PER_ARCHIVE`` records of at most ``SEGMENT_CHARS`` characters, however large the pages are.
 
-Reading: an archive is one row of the binary source, unpacked as a stream, record by record by Content-Length, so a task
-holds one record and not an archive. Records whose segments are all in one archive are put together there; the segments of
+Reading: an archive is one row of the binary source, as compressed, and is unpacked as a stream, record by record by
+Content-Length, so a task holds the segments of one page at a time unpacked. Records whose segments are all in one archive are put together there; the segments of
 others are grouped by origin id, ordered by number and checked against the total length. Then the chunked framing is decoded.
 
 Defined cases: null html counts as empty; payloads under ``LEAST_REVISIT`` bytes are always responses; rows that share the

@@ -63,3 +63,22 @@ def test_windows_take_bounded_memory():
     own = [pool[min(len(pool) - 1, int(rng.paretovariate(0.7)))] for _ in range(decontaminate.MOST_NODES // decontaminate.WINDOW)]
     stats = decontaminate.Windows([("a", own)]).automaton.get_stats()
     assert stats["nodes_count"] <= decontaminate.MOST_NODES and stats["total_size"] < 250 << 20
+
+
+def test_a_template_that_many_items_share(spark):
+    """Windows of a template have very many items; windows with the tail of an item have one."""
+    template = "answer the following question by choosing the best option of these below now please"
+    items = [(i, f"{template} q{i} r{i} s{i}") for i in range(300)] + [(7, template), (7, f"{template} q7 r7 s7")]
+    texts = [(0, f"so: {template} q5 r5 s5. {template}!"), (1, "the best option of these below now please q9 r9 s9"), (2, template[7:]), (3, "best option of these below"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 400):
+        got = [tuple(r)[:6] for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), bench, 10, limit).collect()]
+        assert sorted(got) == sorted((i, *brute(t, items, 10)) for i, t in texts)
+
+
+def test_a_block_of_items_with_one_template_has_one_group_for_it():
+    template = b"answer the following question by choosing the best option of these below now please".split()
+    windows = decontaminate.Windows([(str(i), [*template, b"q%d" % i, b"r%d" % i]) for i in range(20_000)])
+    assert len(windows.group) == 5 + 20_000 * 2 and len(windows.items) == 20_000 + 1
+    n, mask, names = decontaminate.scan(windows, (b" ".join(template) + b" and ").decode() * 50)
+    assert n == 15 * 50 and mask.sum() == 14 * 50 and len(names) == 20_000

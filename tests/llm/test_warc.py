@@ -49,3 +49,12 @@ def test_faults_are_found(spark):
         list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
     assert warc.dechunked(warc.chunked("é" * 9000).encode()).decode() == "é" * 9000
     assert Scratch(spark, "t").folder
+
+
+def test_a_page_larger_than_an_archive_among_others(spark, monkeypatch):
+    """One payload has many times the records that an archive takes; extra columns of clashing names are not looked at."""
+    monkeypatch.setattr(warc, "SEGMENT_CHARS", 1000)
+    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 20)
+    rows = [(1, "u", "long é " * 40_000), (2, "u", "short"), (3, None, "long é " * 40_000), (4, "u", "z\r\n\r\n" * 9000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "'x' AS refers_to", "0 AS place")
+    assert sorted((tuple(r) for r in warc.round_trip(df).collect()), key=str) == expected(rows)
