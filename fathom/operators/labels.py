@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.vectors import dot, norm
+from fathom.operators.tiles import tile_bests
 
 #: The prompts that a phrase is put in before its vectors are averaged.
 PROMPTS = ("a photo of a {}", "a photo of the {}", "a picture of {}", "an image of {}", "a drawing of {}", "a painting of {}", "{}")
 
+#: Of 1,000 numbers a phrase this is 8 MB.
+FEW_PHRASES = 1000
+
 
 def unit_or_zero(v) -> F.Column:
     """The vector over its length; a zero vector stays."""
@@ -35,13 +39,19 @@ def medoids(rows: DataFrame, cents: DataFrame, cluster: str = "cluster", vector:
     return scored.groupBy(cluster).agg(F.max_by(idx, F.struct("_s", -F.col(order))).alias("medoid"))
 
 
-def ranked_phrases(vectors: DataFrame, vocabulary: DataFrame, key: str, vector: str, top_k: int, digits: int = 6) -> DataFrame:
-    """(key, rank, phrase, score) of the best phrases. vocabulary: phrase, pos, embedding.
+def ranked_phrases(vectors: DataFrame, vocabulary: DataFrame, key: str, vector: str, top_k: int, digits: int = 6, few: int = FEW_PHRASES) -> DataFrame:
+    """(key, rank, phrase, score) of the best phrases. vocabulary: phrase, pos (unique), embedding.
 
-    The vocabulary is the smaller side of a nested-loop join: Spark broadcasts it while its size is under the session's
-    threshold, and otherwise joins in partitions; ranks are cut before the shuffle.
+    Up to few phrases are broadcast to the vectors. A larger vocabulary meets them in tiles.
     """
-    scored = vectors.crossJoin(vocabulary).select(key, "phrase", "pos", F.round(dot(vector, "embedding"), digits).alias("score"))
+    if vocabulary.select("pos").limit(few + 1).count() <= few:
+        scored = vectors.crossJoin(F.broadcast(vocabulary)).select(key, "phrase", "pos", F.round(dot(vector, "embedding"), digits).alias("score"))
+    else:
+        best = tile_bests(
+            vectors.select(F.col(key).alias("query"), F.col(vector).alias("q")), vocabulary.select(F.col("pos").alias("item"), F.col("embedding").alias("v")), top_k, digits=digits
+        )
+        best = best.select(F.col("query").alias(key), F.col("item").alias("pos"), F.round("score", digits).alias("score"))
+        scored = best.join(vocabulary.select("phrase", "pos"), "pos")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select(key, "rank", "phrase", "score")
 

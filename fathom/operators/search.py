@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.vectors import dot, l2_normalised, sigmoid
+from fathom.operators import tiles
 from fathom.operators.index import positions
 
 #: The least score that a result needs, by encoder backend.
@@ -83,57 +87,30 @@ def search_files(files: DataFrame, order: list[str], top_k: int = 100, floor: fl
 
 
 def search_batch(index: DataFrame, queries: DataFrame, top_k: int, vector: str = "v", idx: str = "idx", block: int = 256) -> DataFrame:
-    """The best rows for each of many stated queries (query, q), which go to the rows in blocks of a fixed number.
+    """The best rows for each of many stated queries (query, q): query, idx, score, rank; the smallest positions among equals.
 
-    A block is scored by one matrix product for each batch of rows, which keeps top_k a query, the smallest positions among
-    equals at the cut, so little is shuffled.
+    Up to block queries go to the rows, which are read once and not shuffled. More of them meet the rows in tiles.
     """
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     spark = index.sparkSession
-    kind = index.schema[idx].dataType.simpleString()
-    out = None
+    kind, named = (df.schema[c].dataType.simpleString() for df, c in ((index, idx), (queries, "query")))
+    few = queries.select("query", "q").where("q IS NOT NULL").limit(block + 1).collect()
+    if not few:
+        return spark.createDataFrame([], f"query {named}, idx {kind}, score double, rank int")
+    if len(few) > block:
+        out = tiles.tile_bests(queries, index.select(F.col(idx).alias("item"), F.col(vector).alias("v")), top_k, normalise=True)
+        out = out.withColumnRenamed("item", "idx")
+    else:
+        held = spark.sparkContext.broadcast(([r[0] for r in few], np.array([r[1] for r in few], np.float64)))
 
-    def scorer(held):
         def over(batches):
-            names, q = held.value
+            names, q = pa.array(held.value[0]), held.value[1]
             for b in batches:
                 if not b.num_rows:
                     continue
-                v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                s = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)) @ q.T
-                k = min(top_k, b.num_rows)
-                order = pc.sort_indices(b.column(0)).to_numpy()
-                s = s[order]
-                low = np.where(np.isnan(s), np.inf, -s)
-                cut = np.partition(low, k - 1, axis=0)[k - 1]
-                better, equal = low < cut, low == cut
-                keep = better | equal & (equal.cumsum(axis=0) <= k - better.sum(axis=0))
-                of, at = np.nonzero(keep.T)
-                cols = [pa.array(names[of]), b.column(0).take(pa.array(order[at])), pa.array(s[at, of])]
-                yield pa.RecordBatch.from_arrays(cols, names=["query", "idx", "score"])
-
-        return over
-
-    def blocks():
-        rows: list = []
-        for r in queries.select("query", "q").toLocalIterator():
-            rows.append(r)
-            if len(rows) == block:
-                yield rows
-                rows = []
-        if rows:
-            yield rows
-
-    for rows in blocks():
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
-        part = index.select(idx, vector).mapInArrow(scorer(held), f"query long, idx {kind}, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], f"query long, idx {kind}, score double, rank int")
-    from pyspark.sql import Window
+                order = pc.sort_indices(b.column(0))
+                of, at, score = tiles.best_of(q, tiles.unit(tiles.matrix(b.column(1)))[order.to_numpy()], top_k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), b.column(0).take(order.take(pa.array(at))), pa.array(score)], names=["query", "idx", "score"])
 
+        out = index.select(idx, vector).where(F.col(vector).isNotNull()).mapInArrow(over, f"query {named}, idx {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "idx"))
     return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
