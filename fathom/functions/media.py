@@ -10,6 +10,14 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tiff", ".h
 VIDEO_SUFFIXES = (
     ".mp4", ".m4v", ".mov", ".webm", ".ogv", ".ogg", ".mkv", ".avi", ".wmv", ".flv", ".asf", ".mpg", ".mpeg", ".m2v", ".vob", ".m2ts", ".mts", ".3gp", ".3g2"
 )
+#: The types that videos are served as, one for each suffix above, and the suffixes that browsers play.
+VIDEO_TYPES = {
+    ".mp4": "video/mp4", ".m4v": "video/x-m4v", ".mov": "video/quicktime", ".webm": "video/webm", ".ogv": "video/ogg", ".ogg": "video/ogg", ".mkv": "video/x-matroska",
+    ".avi": "video/x-msvideo", ".wmv": "video/x-ms-wmv", ".flv": "video/x-flv", ".asf": "video/x-ms-asf", ".mpg": "video/mpeg", ".mpeg": "video/mpeg", ".m2v": "video/mpeg",
+    ".vob": "video/mpeg", ".m2ts": "video/mp2t", ".mts": "video/mp2t", ".3gp": "video/3gpp", ".3g2": "video/3gpp2",
+}
+OTHER_TYPE = "application/octet-stream"
+PLAYED = (".mp4", ".m4v", ".mov", ".webm")
 #: Fixed value: directories that a scan leaves out, besides those whose names begin with a dot.
 PRUNED = r"(^|/)(\..*?|fathom_index|@eadir|__macosx)/"
 
@@ -23,6 +31,23 @@ def media_type(path: Column) -> Column:
     return F.when(suffix(path).isin(*IMAGE_SUFFIXES), "image").when(suffix(path).isin(*VIDEO_SUFFIXES), "video")
 
 
+def served_type(path: Column) -> Column:
+    """The type that a video is served as; no video's type for any other file."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in VIDEO_TYPES.items() for x in pair]), suffix(path)), F.lit(OTHER_TYPE))
+
+
+def is_played(path: Column) -> Column:
+    """Whether browsers play such a file as a rule."""
+    return suffix(path).isin(*PLAYED)
+
+
+def shown(kind: Column, only: str) -> Column:
+    """Whether a filter shows a medium: images (those of no known kind too) or videos; any other filter shows all."""
+    if only == "images":
+        return F.coalesce(kind, F.lit("image")) == "image"
+    return F.coalesce(kind == "video", F.lit(False)) if only == "videos" else F.lit(True)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

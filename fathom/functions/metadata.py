@@ -88,12 +88,53 @@ def loras(v: Column) -> Column:
     return F.transform(own, lambda x: F.struct(F.coalesce(x["lora"]["model_name"], x["model"]["name"]).alias("name"), x["weight"].alias("weight")))
 
 
+#: The settings that a generation is repeated with, from version 3 and from version 5 on, and their names in a recall.
+RECALLED = ("steps", "cfg_scale", "cfg_rescale_multiplier", "guidance", "width", "height", "scheduler", "clip_skip", "seamless_x", "seamless_y")
+RECALLED_LATER = {
+    "refiner_cfg_scale": "refiner_cfg_scale",
+    "refiner_steps": "refiner_steps",
+    "refiner_start": "refiner_denoise_start",
+    "refiner_positive_aesthetic_score": "refiner_positive_aesthetic_score",
+    "refiner_negative_aesthetic_score": "refiner_negative_aesthetic_score",
+    "strength": "denoise_strength",
+}
+
+
+def reference_images(v: Column) -> Column:
+    """(model_name, image_name, weight) of a version 5 record's enabled references; a weight only with a model, and only a number."""
+    kind = "array<struct<isEnabled:boolean,config:struct<model:struct<name:string>,image:struct<image_name:string>,weight:variant>>>"
+    own = F.from_json(F.to_json(F.coalesce(F.try_variant_get(v, "$.ref_images", "variant"), F.parse_json(F.lit("[]")))), kind)
+
+    def row(r: Column) -> Column:
+        c = r["config"]
+        number = F.schema_of_variant(c["weight"]).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+        name = lambda x: F.when(x != "", x)
+        weight = F.when(c["model"].isNotNull() & number, F.try_variant_get(c["weight"], "$", "double"))
+        return F.struct(name(c["model"]["name"]).alias("model_name"), name(c["image"]["image_name"]).alias("image_name"), weight.alias("weight"))
+
+    return F.transform(F.filter(own, lambda r: F.coalesce(r["isEnabled"], F.lit(True))), row)
+
+
 def recall_payload(v: Column, include_seed: bool = True) -> Column:
-    """The fields that a generation can be repeated from, as JSON without empty ones."""
+    """The fields that a generation can be repeated from, as JSON without empty ones.
+
+    References with a model are adapters, others with an image bare ones. Control layers are not among the fields.
+    """
     clean = lambda c: F.when(c != "", c)
     fields = [clean(positive_prompt(v)).alias("positive_prompt"), clean(negative_prompt(v)).alias("negative_prompt"), clean(model_name(v)).alias("model")]
     if include_seed:
         fields.append(seed(v).alias("seed"))
+    version = schema_version(v)
+    some = lambda a: F.when(F.size(a) > 0, a)
+    set_at = lambda field, on: F.when(on & (kind_at(v, f"$.{field}") != "VOID"), F.try_variant_get(v, f"$.{field}", "variant"))
+    fields += [set_at(field, version != 2).alias(field) for field in RECALLED]
+    fields += [set_at(field, version == 5).alias(name) for field, name in RECALLED_LATER.items()]
+    named = F.transform(F.filter(loras(v), lambda x: x["name"] != ""), lambda x: F.struct(x["name"].alias("model_name"), x["weight"].alias("weight")))
+    fields.append(F.when(version != 2, some(named)).alias("loras"))
+    refs = F.when(version == 5, reference_images(v))
+    fields.append(some(F.filter(refs, lambda r: r["model_name"].isNotNull())).alias("ip_adapters"))
+    bare = F.filter(refs, lambda r: r["model_name"].isNull() & r["image_name"].isNotNull())
+    fields.append(some(F.transform(bare, lambda r: F.struct(r["image_name"].alias("image_name")))).alias("reference_images"))
     return F.to_json(F.struct(*fields))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.vectors import dot, norm
+from fathom.operators.encoders import encoded
 from fathom.operators.tiles import tile_bests
 
 #: The prompts that a phrase is put in before its vectors are averaged.
@@ -68,6 +69,18 @@ def cluster_labels(rows: DataFrame, vocabulary: DataFrame, top_k: int = 3, clust
     return labels(ranked_phrases(cents, vocabulary, cluster, "centroid", top_k), cluster).join(medoids(rows, cents, cluster), cluster)
 
 
+def prompted(vocabulary: DataFrame, prompts: tuple[str, ...] = PROMPTS) -> DataFrame:
+    """vocabulary with a row for each prompt of its phrase: prompt."""
+    every = F.array(*[F.replace(F.lit(p), F.lit("{}"), F.col("phrase")) for p in prompts])
+    return vocabulary.withColumn("prompt", F.explode(every))
+
+
+def vocabulary_vectors(vocabulary: DataFrame, spec: str, prompts: tuple[str, ...] = PROMPTS) -> DataFrame:
+    """(phrase, pos, embedding) of the phrases (phrase, pos): the unit mean of their encoded prompts; prompts that fail are left out."""
+    own = encoded(prompted(vocabulary.select("phrase"), prompts), spec, "prompt").where("NOT bad")
+    return ensembled(own).join(vocabulary.select("phrase", "pos"), "phrase").select("phrase", "pos", "embedding")
+
+
 def ensembled(encoded: DataFrame, phrase: str = "phrase", vector: str = "v") -> DataFrame:
     """(phrase, embedding): the mean over prompts of unit vectors, of unit length."""
     unit = encoded.select(phrase, unit_or_zero(F.col(vector)).alias("_u"))

@@ -35,6 +35,17 @@ def preference_state(log: DataFrame) -> DataFrame:
     return live.groupBy("device", "key").agg(F.max(F.struct("written", "value")).alias("_last")).select("device", "key", "_last.value")
 
 
+def with_defaults(state: DataFrame, devices: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """(device, key, value): what every device gets, its own values and defaults for keys that it has not set, or null.
+
+    devices: device. Keys without a default are kept as they are.
+    """
+    each = F.explode(F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair]).cast("map<string,string>")).alias("key", "_value")
+    asked = devices.select("device").distinct().select("device", each)
+    own = state.join(devices.select("device").distinct(), "device", "left_semi")
+    return asked.join(own, ["device", "key"], "full").select("device", "key", F.coalesce("value", "_value").alias("value"))
+
+
 def without_empty(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows without those that are empty in all the columns, and without the columns that are then empty in all rows."""
     filled = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "" for c in columns]

@@ -54,8 +54,22 @@ def media_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MEDIA_SQL} SELECT vec_id FROM media0 WHERE filename LIKE '%.jpg' AND label <> 3")
 def media_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images among the points; a point without a media type counts as an image."""
-    kind = F.coalesce(m.media_type(F.col("filename")), F.lit("image"))
-    return files(spark, sf_dir).where((kind == "image") & (F.col("label") != 3)).select("vec_id")
+    return files(spark, sf_dir).where(m.shown(m.media_type(F.col("filename")), "images") & (F.col("label") != 3)).select("vec_id")
+
+
+@query(
+    "WITH t AS (SELECT * FROM (VALUES (0, 'mp4', 'video/mp4'), (1, 'm4v', 'video/x-m4v'), (2, 'mov', 'video/quicktime'), (3, 'webm', 'video/webm'), (4, 'ogv', 'video/ogg'), (5, 'ogg', 'video/ogg'), (6, 'mkv', 'video/x-matroska'), "
+    "(7, 'avi', 'video/x-msvideo'), (8, 'wmv', 'video/x-ms-wmv'), (9, 'flv', 'video/x-flv'), (10, 'asf', 'video/x-ms-asf'), (11, 'mpg', 'video/mpeg'), (12, 'mpeg', 'video/mpeg'), (13, 'm2v', 'video/mpeg'), (14, 'vob', 'video/mpeg'), "
+    "(15, 'm2ts', 'video/mp2t'), (16, 'mts', 'video/mp2t'), (17, '3gp', 'video/3gpp'), (18, '3g2', 'video/3gpp2'), (19, 'jpg', 'application/octet-stream')) AS v(k, suffix, served)) "
+    "SELECT served, k < 4 AS played, count(*) AS n, count(DISTINCT user_id) AS users FROM events JOIN t ON user_id % 20 = k GROUP BY ALL"
+)
+def served_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What events' files are served as; suffixes in either case."""
+    ends = F.array(*[F.lit(x.upper() if i % 2 else x) for i, x in enumerate((*m.VIDEO_SUFFIXES, ".jpg"))])
+    path = F.concat(F.lit("a/b.c/"), F.col("event_id").cast("string"), F.get(ends, (F.col("user_id") % 20).cast("int")))
+    e = table(spark, sf_dir, "events", "event_id", "user_id")
+    kinds = e.select(m.served_type(path).alias("served"), m.is_played(path).alias("played"), "user_id")
+    return kinds.groupBy("served", "played").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 @query(

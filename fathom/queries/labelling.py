@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.catalog import query
 from fathom.operators import labels
 from fathom.sources.surrogates import MEDIA_SQL, files, media
+from fathom.sources.tables import table
 
 _MEAN = "SELECT {k}, list(m ORDER BY i) AS mean FROM (SELECT {k}, i, avg(x) AS m FROM (SELECT {k}, unnest({v}) AS x, unnest(range(1, len({v}) + 1)) AS i FROM {t}) GROUP BY {k}, i) GROUP BY {k}"
 _UNIT = "CASE WHEN list_dot_product({0}, {0}) > 0 THEN list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0}))) ELSE {0} END"
@@ -59,6 +60,16 @@ def image_labels_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.ranked_phrases(own, _vocabulary(spark, sf_dir), "idx", "w", 3)
 
 
+@query(
+    "WITH p AS (SELECT unnest(['a photo of a {}', 'a photo of the {}', 'a picture of {}', 'an image of {}', 'a drawing of {}', 'a painting of {}', '{}']) AS t) "
+    "SELECT p_partkey AS pos, replace(t, '{}', p_name) AS prompt FROM part, p"
+)
+def phrase_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of every part's name."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name").toDF("pos", "phrase")
+    return labels.prompted(p).select("pos", "prompt")
+
+
 @query(
     f"WITH {MEDIA_SQL}, enc AS (SELECT vec_id % 50 AS phrase, {_UNIT.format('v')} AS u FROM media0), means AS ({_MEAN.format(k='phrase', v='u', t='enc')}), e AS (SELECT phrase, {_UNIT.format('mean')} AS c FROM means) SELECT phrase, unnest(range(1, len(c) + 1)) AS i, round(unnest(c), 6) AS x FROM e"
 )

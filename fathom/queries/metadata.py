@@ -161,3 +161,22 @@ def image_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     width, height = headers.upright(F.col("width"), F.col("height"), F.col("exif"))
     seed = md.seed(headers.record(F.col("exif"), F.col("texts"), "meta"))
     return read.select("p_partkey", "format", width.alias("width"), height.alias("height"), headers.taken_at(F.col("exif"), k.cast("double")).alias("taken"), seed.alias("seed"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"positive_prompt\":\"cat ' || event_id || '\",\"model\":\"m\",\"seed\":' || user_id || '}' "
+    "ELSE '{\"positive_prompt\":\"cat ' || event_id || '\",\"model\":\"m\",\"seed\":' || user_id || ',\"steps\":' || user_id % 50 || ',\"scheduler\":\"' || event_type || '\"' "
+    "|| CASE WHEN event_id % 3 = 1 THEN '' ELSE ',\"denoise_strength\":0.5,\"loras\":[{\"model_name\":\"l' || user_id % 9 || '\",\"weight\":0.25}],\"ip_adapters\":[{\"model_name\":\"a\",\"image_name\":\"r' || event_id || '.png\",\"weight\":1.5}],\"reference_images\":[{\"image_name\":\"b.png\"}]' END || '}' END AS payload FROM events"
+)
+def recall_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What records of three versions are repeated from; of the last, references with and without a model, and disabled ones."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    said, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    old = text('{"app_version": "2.3", "model_weights": "m", "steps": 9, "image": {"prompt": [{"prompt": "cat ', said, '"}], "seed": ', user, "}}")
+    common = text('"positive_prompt": "cat ', said, '", "model": {"name": "m"}, "negative_prompt": "", "seed": ', user, ', "width": null, "steps": ', (F.col("user_id") % 50).cast("string"), ', "scheduler": "', F.col("event_type"), '"')
+    refs = text('[{"isEnabled": true, "config": {"model": {"name": "a"}, "image": {"image_name": "r', said, '.png"}, "weight": 1.5}}, {"config": {"image": {"image_name": "b.png"}, "weight": 1}}, {"isEnabled": false, "config": {"image": {"image_name": "c.png"}}}]')
+    middle = text('{"app_version": "3.1", "strength": 0.5, ', common, "}")
+    new = text('{"app_version": "5.6", "strength": 0.5, "loras": [{"model": {"name": "l', (F.col("user_id") % 9).cast("string"), '"}, "weight": 0.25}], "ref_images": ', refs, ", ", common, "}")
+    record = F.when(F.col("event_id") % 3 == 0, old).when(F.col("event_id") % 3 == 1, middle).otherwise(new)
+    return e.select("event_id", md.recall_payload(F.parse_json(record)).alias("payload"))

@@ -66,6 +66,16 @@ def preference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.preference_state(table(spark, sf_dir, "events", "event_id", "user_id").selectExpr(*_LOG_COLUMNS))
 
 
+@query(
+    f"WITH log AS (SELECT {_LOG} FROM events), c AS (SELECT device, max(written) AS cleared FROM log WHERE op <> 'patch' GROUP BY device), s AS (SELECT device, key, arg_max(value, written) AS value FROM log LEFT JOIN c USING (device) WHERE op <> 'forget' AND (cleared IS NULL OR written >= cleared) GROUP BY device, key), "
+    "f AS (SELECT DISTINCT device, unnest(['theme', 'k0']) AS key FROM log), d AS (SELECT device, key, CASE key WHEN 'theme' THEN 'dark' ELSE 'unset' END AS preset FROM f) SELECT device, key, coalesce(value, preset) AS value FROM s FULL JOIN d USING (device, key)"
+)
+def preference_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every device's preferences, with a default for a key that many have set and for one that none has."""
+    log = table(spark, sf_dir, "events", "event_id", "user_id").selectExpr(*_LOG_COLUMNS)
+    return up.with_defaults(up.preference_state(log), log, {"theme": "dark", "k0": "unset"})
+
+
 @query(f"WITH {MEDIA_SQL} SELECT filename FROM media0 WHERE vec_id % 4 = 0")
 def unused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames were kept of all files; every fourth file has changed since."""

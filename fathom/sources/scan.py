@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,24 +12,54 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from fathom.functions import media as m
 
 
-def media_files(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
-    """(path, size, mtime, media) of the media files under directories, without pruned ones. Contents are not read."""
+def media_files(spark: SparkSession, roots: str | Sequence[str], files: Sequence[str] = ()) -> DataFrame:
+    """(path, size, mtime, media) of the media files under directories, without pruned ones, and of single files, wherever they are.
+
+    A file that is named and also found is one row. Contents are not read.
+    """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    if not roots or not all(isinstance(r, str) for r in roots):
-        raise ValueError("roots must be one path or several")
-    parts = []
+    if not (roots or files) or not all(isinstance(r, str) for r in [*roots, *files]):
+        raise ValueError("roots and files must be paths, one at least")
+    parts = [_listed(spark, list(files))] if files else []
     for root in roots:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        files = files.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"))
+        found = _listed(spark, root)
         base = "/" + root.split(":", 1)[-1].strip("/") + "/"
         inside = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), base, -1)
-        parts.append(files.where(~m.is_pruned(inside)))
+        parts.append(found.where(~m.is_pruned(inside)))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out.dropDuplicates(["path"]).withColumn("media", m.media_type(F.col("path"))).where("media IS NOT NULL")
 
 
+def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return found.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"))
+
+
+def described(paths: Sequence[str], limit: int = 3) -> str:
+    """What a scan reads, in one line for a log: a few paths as they are, of more their number and the folder of all."""
+    if len(paths) <= limit:
+        return ", ".join(paths)
+    try:
+        where = os.path.commonpath(paths)
+    except ValueError:  # relative and absolute ones
+        where = "multiple locations"
+    return f"{len(paths)} explicit paths under {where}"
+
+
+def on_disk(listing: DataFrame, existing: DataFrame, where: str) -> tuple[DataFrame, int]:
+    """The listed paths that exist, and how many do not. If something is listed and nothing of it exists, that is an error.
+
+    listing and existing: path.
+    """
+    there = listing.select("path").join(existing.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left")
+    n, found = there.agg(F.count("*"), F.count("_there")).first()
+    if n and not found:
+        raise FileNotFoundError(f"none of {n} listed files are under {where}")
+    return there.where("_there").select("path"), n - found
+
+
 def gated(files: DataFrame, sizes: Callable[[DataFrame], DataFrame], floor: int = 8192, sure: int = 500 * 1024, least: int = 256) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected). Only images between the two byte limits are opened: sizes adds width and height to these."""
     unsure = (F.col("media") == "image") & F.col("size").between(floor, sure)
