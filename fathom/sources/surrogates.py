@@ -27,8 +27,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files with idx, the position by time and name."""
-    return global_index(files(spark, sf_dir), ["mtime", "filename"], Scratch(spark, "media"))
+    """files with idx, the position by time and name; names are cut to five digits, so from id 100000 on two files can have both: then by id."""
+    return global_index(files(spark, sf_dir), ["mtime", "filename", "vec_id"], Scratch(spark, "media"))
 
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
