@@ -19,7 +19,8 @@ def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MEDIA_SQL} SELECT vec_id, idx FROM media")
 def row_to_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("vec_id", "filename").join(media(spark, sf_dir).select("filename", "idx"), "filename").select("vec_id", "idx")
+    """By id, as several files can have one name."""
+    return files(spark, sf_dir).select("vec_id").join(media(spark, sf_dir).select("vec_id", "idx"), "vec_id").select("vec_id", "idx")
 
 
 @query(
