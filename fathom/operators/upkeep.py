@@ -19,9 +19,9 @@ def sidecars(plan: DataFrame, existing: DataFrame) -> DataFrame:
     return asked.join(existing.select(F.col("path").alias("source")), "source", "left_semi")
 
 
-def unused_frames(kept: DataFrame, index: DataFrame) -> DataFrame:
-    """Kept frames of videos that the index no longer has at that time. Both: filename, mtime."""
-    return kept.join(index.select("filename", "mtime"), ["filename", "mtime"], "left_anti")
+def unused_frames(kept: DataFrame, index: DataFrame, file: str = "filename") -> DataFrame:
+    """Kept frames of videos that the index no longer has at that time. Both: mtime and the column that tells files apart."""
+    return kept.join(index.select(file, "mtime"), [file, "mtime"], "left_anti")
 
 
 def preference_state(log: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def preference_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames were kept of all files; every fourth file has changed since."""
     f = files(spark, sf_dir)
-    now = f.select("filename", (F.col("mtime") + F.when(F.col("vec_id") % 4 == 0, 1.0).otherwise(0.0)).alias("mtime"))
-    return up.unused_frames(f.select("filename", "mtime"), now).select("filename")
+    now = f.select("vec_id", (F.col("mtime") + F.when(F.col("vec_id") % 4 == 0, 1.0).otherwise(0.0)).alias("mtime"))
+    return up.unused_frames(f.select("vec_id", "filename", "mtime"), now, "vec_id").select("filename")
 
 
 @query(
