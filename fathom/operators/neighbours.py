@@ -39,7 +39,8 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
     if not n:
         return spark.createDataFrame([], "u long, v long, cosine double")
     blocks = math.ceil(n / BLOCK)
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    least = threshold - 0.5 * 10.0**-digits - 1e-9  # a cosine just under the threshold can reach it by rounding
+    radius = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     few = min(MOST_PIVOTS, n // ROWS_PER_CELL)
     picks = own.orderBy(F.xxhash64("node")).limit(few + SAMPLE).collect() if few > 1 else []
     sample = np.array([r["v"] for r in picks], np.float64)
@@ -49,7 +50,7 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
         d = np.sqrt(np.maximum(0, 2 - 2 * sample[few:] @ pivots.T))
         visited = (d <= d.min(axis=1, keepdims=True) + 2 * radius).sum(axis=1).mean() if len(d) else few
     if few < 2 or visited >= blocks:  # pivots would copy each row more often than blocks of all rows do
-        return _rounded(_blocked(own, blocks, threshold), threshold, digits)
+        return _rounded(_blocked(own, blocks, least), threshold, digits)
     held = spark.sparkContext.broadcast(pivots)
 
     def cells(batches):
@@ -71,11 +72,11 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
     at_home = dealt.where("home").select("cell", F.col("_b").alias("i"), every("j"), "node", "v", F.lit(True).alias("home"))
     visits = dealt.select("cell", every("i"), F.col("_b").alias("j"), "node", "v", F.lit(False).alias("home"))
 
-    out = at_home.union(visits).groupBy("cell", "i", "j").applyInArrow(_pairs(threshold), "u long, v long, cosine double")
+    out = at_home.union(visits).groupBy("cell", "i", "j").applyInArrow(_pairs(least), "u long, v long, cosine double")
     return _rounded(out, threshold, digits)
 
 
-def _pairs(threshold: float):
+def _pairs(least: float):
     """The pairs of a tile: rows at home with visiting ones, the smaller node first."""
 
     def over(t: pa.Table) -> pa.Table:
@@ -85,7 +86,7 @@ def _pairs(threshold: float):
         if not len(a) or not len(b):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         s = x[a] @ x[b].T
-        i, j = np.nonzero((s >= threshold - 1e-9) & (node[a][:, None] < node[b][None, :]))
+        i, j = np.nonzero((s >= least) & (node[a][:, None] < node[b][None, :]))
         return pa.table({"u": node[a][i], "v": node[b][j], "cosine": s[i, j]})
 
     return over
@@ -95,14 +96,14 @@ def _rounded(pairs: DataFrame, threshold: float, digits: int) -> DataFrame:
     return pairs.withColumn("cosine", F.round("cosine", digits)).where(F.col("cosine") >= threshold)
 
 
-def _blocked(own: DataFrame, blocks: int, threshold: float) -> DataFrame:
+def _blocked(own: DataFrame, blocks: int, least: float) -> DataFrame:
     """All pairs in tiles of two blocks of about BLOCK rows: each row is in as many tiles as there are blocks, twice."""
     norm = own.select("node", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, y: acc + y * y)).alias("_n"))
     unit = norm.select("node", F.transform("v", lambda x: x / (F.col("_n") + 1e-12)).alias("v"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("_b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     at_home = unit.select(F.col("_b").alias("i"), every.alias("j"), "node", "v", F.lit(True).alias("home"))
     visits = unit.select(every.alias("i"), F.col("_b").alias("j"), "node", "v", F.lit(False).alias("home"))
-    return at_home.union(visits).groupBy("i", "j").applyInArrow(_pairs(threshold), "u long, v long, cosine double")
+    return at_home.union(visits).groupBy("i", "j").applyInArrow(_pairs(least), "u long, v long, cosine double")
 
 
 def grid_pairs(points: DataFrame, eps: float, node: str = "node") -> DataFrame:
