@@ -18,6 +18,7 @@ from fathom.plans.scratch import Scratch
 
 
 FEW = 250_000
+HELD = 200_000
 
 
 class _Groups(dict):
@@ -44,11 +45,14 @@ class _Groups(dict):
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each batch as every node with its smallest."""
+    """The edges of a task as every node with its smallest; begun anew when HELD nodes are held."""
+    groups = _Groups()
     for b in batches:
-        groups = _Groups()
         groups.join(b)
-        yield groups.rows(["u", "v"], roots=False)
+        if len(groups) > HELD:
+            yield groups.rows(["u", "v"], roots=False)
+            groups = _Groups()
+    yield groups.rows(["u", "v"], roots=False)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,13 +3,15 @@
 Vectors: cells around pivots. A row's home is its nearest pivot; it also visits every cell that is at most twice the radius
 farther from it, so two rows within the radius always meet in both homes, and a pair is given in the home of its smaller id.
 Cells are cut into blocks, so a crowded cell is many tasks. Where there are few rows, or a sample shows that pivots would copy
-rows more often than plain blocks of all rows do (wide radii, many dimensions), the rows meet in such blocks. Points: a grid of squares as wide as the radius, joined on equal
+rows more often than plain blocks of all rows do (wide radii, many dimensions), the rows meet in such blocks: all pairs are
+compared, but a row travels once for each TILE rows, and a task holds two blocks. Points: a grid of squares as wide as the radius, joined on equal
 squares with the eight around them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from fathom.plans.scratch import Scratch
 ROWS_PER_CELL = 2000
 MOST_PIVOTS = 256
 BLOCK = 2000
+TILE = 32768
+TILES = 8
+COPIES = 16
+SLICE = 256
 SAMPLE = 512
 
 
@@ -38,7 +44,7 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
     n = own.count()
     if not n:
         return spark.createDataFrame([], "u long, v long, cosine double")
-    blocks = math.ceil(n / BLOCK)
+    blocks = max(math.ceil(n / TILE), min(math.ceil(n / BLOCK), TILES))
     least = threshold - 0.5 * 10.0**-digits - 1e-9  # a cosine just under the threshold can reach it by rounding
     radius = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     few = min(MOST_PIVOTS, n // ROWS_PER_CELL)
@@ -49,7 +55,8 @@ def cosine_pairs(rows: DataFrame, threshold: float, node: str = "node", vector:
         sample /= np.linalg.norm(sample, axis=1, keepdims=True) + 1e-12
         d = np.sqrt(np.maximum(0, 2 - 2 * sample[few:] @ pivots.T))
         visited = (d <= d.min(axis=1, keepdims=True) + 2 * radius).sum(axis=1).mean() if len(d) else few
-    if few < 2 or visited >= blocks:  # pivots would copy each row more often than blocks of all rows do
+        copies = (1 + visited) * max(1, visited * n / (few * BLOCK))
+    if few < 2 or copies >= max(blocks, COPIES) or visited > few / 2:  # pivots would copy rows more often than blocks of all rows do, or save few comparisons
         return _rounded(_blocked(own, blocks, least), threshold, digits)
     held = spark.sparkContext.broadcast(pivots)
 
@@ -97,13 +104,27 @@ def _rounded(pairs: DataFrame, threshold: float, digits: int) -> DataFrame:
 
 
 def _blocked(own: DataFrame, blocks: int, least: float) -> DataFrame:
-    """All pairs in tiles of two blocks of about BLOCK rows: each row is in as many tiles as there are blocks, twice."""
+    """All pairs in tiles of two blocks, each two blocks once: each row is in as many tiles as there are blocks."""
     norm = own.select("node", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, y: acc + y * y)).alias("_n"))
-    unit = norm.select("node", F.transform("v", lambda x: x / (F.col("_n") + 1e-12)).alias("v"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("_b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    at_home = unit.select(F.col("_b").alias("i"), every.alias("j"), "node", "v", F.lit(True).alias("home"))
-    visits = unit.select(every.alias("i"), F.col("_b").alias("j"), "node", "v", F.lit(False).alias("home"))
-    return at_home.union(visits).groupBy("i", "j").applyInArrow(_pairs(least), "u long, v long, cosine double")
+    unit = norm.select("node", F.transform("v", lambda x: x / (F.col("_n") + 1e-12)).alias("v"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"))
+    met = unit.select("node", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
+
+    def over(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        node, x, b = np.concatenate([c.column("node").to_numpy() for c in held]), np.concatenate([_matrix(c.column("v")) for c in held]), np.concatenate([c.column("b").to_numpy() for c in held])
+        del held
+        i, j = (k.as_py() for k in key)
+        other, y = node[b == j], x[b == j]
+        node, x = node[b == i], x[b == i]
+        for at in range(0, len(x), SLICE):
+            s = x[at : at + SLICE] @ y.T
+            p, q = np.nonzero(s >= least)
+            s, p, q = s[p, q], node[p + at], other[q]
+            take = p < q if i == j else p != q
+            s, p, q = s[take], p[take], q[take]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(s)], names=["u", "v", "cosine"])
+
+    return met.groupBy(F.least("b", "_o").alias("i"), F.greatest("b", "_o").alias("j")).applyInArrow(over, "u long, v long, cosine double")
 
 
 def grid_pairs(points: DataFrame, eps: float, node: str = "node") -> DataFrame:
