@@ -256,14 +256,15 @@ def exif_text(v: Column, field: str, keys: Column | None = None) -> Column:
 def exif_table(v: Column) -> Column:
     """The fields to show, in order: array of (label, value). Of fields with one label the first that is there counts."""
 
-    def of(keys: Column) -> Column:
+    def of(record: Column, keys: Column) -> Column:
         by_label: dict[str, list[Column]] = {}
         for field, label in EXIF_FIELDS:
-            by_label.setdefault(label, []).append(exif_text(v, field, keys))
+            by_label.setdefault(label, []).append(exif_text(record, field, keys))
         rows = [F.struct(F.lit(label).alias("label"), F.coalesce(*texts).alias("value")) for label, texts in by_label.items()]
         return F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
 
-    return F.transform(F.array(F.json_object_keys(F.to_json(v))), of)[0]
+    # the record is bound once: as an expression it would be parsed again for each look at a field
+    return F.transform(F.array(v), lambda x: F.transform(F.array(F.json_object_keys(F.to_json(x))), lambda keys: of(x, keys))[0])[0]
 
 
 def has_generation(v: Column) -> Column:

@@ -95,7 +95,8 @@ def exif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     shown = md.exif_table(F.parse_json(record))
     said = F.array_join(F.transform(shown, lambda r: F.concat(r["label"], F.lit("="), r["value"])), "; ")
-    return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select("p_partkey", said.alias("said"))
+    # rows are small and their work is not: a file that is one task's input is dealt out first
+    return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").repartition("p_partkey").select("p_partkey", said.alias("said"))
 
 
 @query(
