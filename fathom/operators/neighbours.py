@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.plans.scratch import Scratch
@@ -28,6 +28,8 @@ TILES = 8
 COPIES = 16
 SLICE = 256
 SAMPLE = 512
+NARROW = 2
+COMPARED = 1_000_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -141,35 +143,54 @@ def grid_pairs(points: DataFrame, eps: float, node: str = "node") -> DataFrame:
 def k_distances(points: DataFrame, k: int, node: str = "node") -> DataFrame:
     """(node, d): distance to the k-th nearest other point, by a grid whose squares widen until every point has its k.
 
-    Points that found k neighbours within the squares' width are done; only the rest go on, with squares twice as wide.
+    Points that found k neighbours within the squares' width are done; only the rest go on, with squares twice as wide. Points
+    at one place are one place with a number, and a square's distances stay in its task: no pair is written or shuffled.
+    The first squares are narrow, so crowded areas are done before squares hold many of their places.
     """
     scratch = Scratch(points.sparkSession, "knn")
-    own = scratch.table(points.select(F.col(node).alias("node"), "x", "y"), "points")
-    n, x0, x1, y0, y1 = own.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    k = min(k, n - 1)
+    whole = [F.col(c).isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c) for c in ("x", "y")]
+    own = scratch.table(points.select(F.col(node).alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(whole[0] & whole[1]), "points")
+    places = scratch.table(own.groupBy("x", "y").agg(F.count("*").alias("n")), "places")
+    n, x0, x1, y0, y1 = places.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    k = min(k, (n or 0) - 1)
     if k < 1:
         return own.sparkSession.createDataFrame([], "node long, d double")
     span = max(x1 - x0, y1 - y0) or 1.0
-    width = span * math.sqrt((k + 1) / n)
-    todo, done = own, None
+    width = span * math.sqrt((k + 1) / n) / NARROW
+    todo, done = places, None
     while True:
         last = width >= 2 * span
-        near = _near(todo, own, width)
-        ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy("d2", "v"))).where(F.col("_r") == k)
-        found = ranked.select(F.col("u").alias("node"), F.sqrt("d2").alias("d"))
-        found = scratch.table(found if last else found.where(F.col("d") <= width), "found")
+        found = scratch.table(_kth(todo, places, width, k, last), "found")
         done = found if done is None else done.union(found)
-        todo = scratch.table(todo.join(found, "node", "left_anti"), "todo")
+        todo = scratch.table(todo.join(found.select("x", "y"), ["x", "y"], "left_anti"), "todo")
         if last or not todo.limit(1).count():
-            return done
+            return own.join(done, ["x", "y"]).select("node", "d")
         width *= 2
 
 
-def _near(todo: DataFrame, points: DataFrame, width: float) -> DataFrame:
-    cell = lambda c: F.floor(F.col(c) / width)
-    a = todo.select(F.col("node").alias("u"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = a.withColumn("_s", F.explode(steps)).select("u", "_x", "_y", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
-    b = points.select(F.col("node").alias("v"), F.col("x").alias("_x2"), F.col("y").alias("_y2"), cell("x").alias("_cx"), cell("y").alias("_cy"))
-    dx, dy = F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2")
-    return a.join(b, ["_cx", "_cy"]).where("u <> v").select("u", "v", (dx * dx + dy * dy).alias("d2"))
+def _kth(todo: DataFrame, places: DataFrame, width: float, k: int, last: bool) -> DataFrame:
+    """(x, y, d) of the places that have k points besides one of their own within width; last: within any distance."""
+    cell = [F.floor(F.col(c) / width).alias(f"_c{c}") for c in ("x", "y")]
+    asked = todo.select("x", "y", *cell)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = places.select("x", "y", "n", *cell, F.explode(around).alias("_s"))
+    near = near.select("x", "y", "n", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
+    near = near.join(asked.select("_cx", "_cy").distinct(), ["_cx", "_cy"], "left_semi").toDF("_cx", "_cy", "p", "q", "n").withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
+
+    def over(own: pa.Table, other: pa.Table) -> pa.Table:
+        x, y = (own.column(c).to_numpy() for c in ("x", "y"))
+        p, q, n = (other.column(c).to_numpy() for c in ("p", "q", "n"))
+        out = np.full(len(x), np.nan)
+        step = max(1, COMPARED // max(1, len(p)))
+        for at in range(0, len(x) if n.sum() > k else 0, step):
+            dx, dy = x[at : at + step, None] - p, y[at : at + step, None] - q
+            d2 = dx * dx + dy * dy
+            m = min(k, d2.shape[1] - 1)  # the k + 1 nearest places hold the k + 1 nearest points
+            order = np.argpartition(d2, m, axis=1)[:, : m + 1]
+            order = np.take_along_axis(order, np.argsort(np.take_along_axis(d2, order, 1), axis=1), 1)
+            kth = (n[order].cumsum(axis=1) > k).argmax(axis=1)  # the place itself is first, and the point among its n
+            out[at : at + step] = np.sqrt(np.take_along_axis(d2, np.take_along_axis(order, kth[:, None], 1), 1)[:, 0])
+        good = ~np.isnan(out) if last else out <= width
+        return pa.table({"x": x[good], "y": y[good], "d": out[good]})
+
+    return asked.groupBy("_cx", "_cy").cogroup(near.groupBy("_px", "_py")).applyInArrow(over, "x double, y double, d double")
