@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm import remembered
+
 CACHE_ENTRIES = 220_000
 CACHE_BYTES = 64
 FEW_BYTES = 40
@@ -208,6 +210,7 @@ _LOADED: dict[str, ByteBPE] = {}
 
 
 def _bpe(path: str) -> ByteBPE:
+    remembered.only(_LOADED)
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = ByteBPE(path)
@@ -234,7 +237,7 @@ def encode_frame(docs: DataFrame, path: str | None = None, text_col: str = "text
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(file)
-        for batch in batches:
+        for batch in remembered.pieces(batches):
             counts, shas, backs, arrays = [], [], [], []
             for text in batch.column(names.index(text_col)).to_pylist():
                 own = bpe.encode_text(text)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm import remembered
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; rows without an id are in no held-out fold."""
@@ -67,7 +69,7 @@ def scored(docs: DataFrame, score: Callable[[str], float]) -> DataFrame:
     at = docs.columns.index("text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in remembered.pieces(batches):
             own = pa.array([score(t or "") for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, own], names=schema.names)
 

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm import remembered
 from fathom.operators.components import connected_components
 from fathom.plans.scratch import Scratch
 
@@ -64,6 +65,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _begin() -> None:
+    remembered.only(_WORDS)
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
@@ -141,7 +146,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """docs: _id, _h, text. A row for each: _id, _h, key, n_shingles, sig (null without words)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        _begin()
+        for batch in remembered.pieces(batches):
             texts = batch.column(2).to_pylist()
             keys, sets = [], []
             for t in texts:
@@ -194,7 +200,8 @@ def shingle_table(docs: DataFrame, rows: DataFrame, needed: DataFrame, size: int
     held = docs.join(picked, docs["_id"].eqNullSafe(F.col("_pid")) & (docs["_h"] == F.col("_ph"))).select("node", "text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        _begin()
+        for b in remembered.pieces(batches):
             sets = [_pack(shingle_set(words(t), size)) for t in b.column(1).to_pylist()]
             sizes = pa.array(list(map(len, sets)), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), sizes], names=["node", "shingles", "bytes"])

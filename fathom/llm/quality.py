@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import learning
+from fathom.llm import learning, remembered
 
 TRAIN_ROWS = 4000
 BITS = 18
@@ -57,6 +57,10 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
+def _begin() -> None:
+    remembered.only(_TOKENS)
+
+
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h + np.uint64(salt)) * _M
     h ^= h >> np.uint64(29)
@@ -120,6 +124,7 @@ def scorer(spark, model: bytes) -> Callable[[str], float]:
 
     def score(text: str) -> float:
         if not cache:
+            _begin()
             cache.append(np.frombuffer(held.value, np.float32))
         w = cache[0]
         own = grams(text)
