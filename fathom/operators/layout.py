@@ -78,13 +78,28 @@ def _nearest(k: int):
 
 
 def _best(links: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each row; new is false for links that were there before."""
-    one = links.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+    """The k nearest of each row; new is false for links that were there before. Links go to their row in one exchange."""
+    one = links.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return one.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("_r") <= k).drop("_r")
 
 
-def _local(t: pa.Table) -> pa.Table:
-    """Pairs among the neighbours of each row of a group, where they beat what one of them has."""
+def _first(u: np.ndarray, v: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each u the k nearest v, each once. What is left out is behind k others wherever it is compared with more."""
+    order = np.lexsort((d, v, u))
+    u, v, d = u[order], v[order], d[order]
+    once = np.ones(len(u), bool)
+    once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, d = u[once], v[once], d[once]
+    order = np.lexsort((v, d, u))
+    u, v, d = u[order], v[order], d[order]
+    at = np.arange(len(u))
+    start = np.maximum.accumulate(np.where(np.append(True, u[1:] != u[:-1])[: len(u)], at, 0))
+    kept = at - start < k
+    return u[kept], v[kept], d[kept]
+
+
+def _local(t: pa.Table, k: int) -> pa.Table:
+    """Pairs among the neighbours of each row of a group, where they beat what one of them has: of each row the k nearest."""
     t = t.sort_by([("w", "ascending"), ("x", "ascending")])
     w, x, new, most = (t.column(c).to_numpy(zero_copy_only=False) for c in ("w", "x", "new", "most"))
     v = _floats(t.column("v"))
@@ -97,7 +112,7 @@ def _local(t: pa.Table) -> pa.Table:
         vs.append(x[a:b][j])
         ds.append(d[i, j])
         a = b
-    return _links(*(np.concatenate(c) if c else [] for c in (us, vs, ds)))
+    return _links(*_first(*(np.concatenate(c) for c in (us, vs, ds)), k)) if us else _links([], [], [])
 
 
 def neighbour_graph(rows: DataFrame, scratch: Scratch, k: int = NEIGHBOURS, seed: int = 0, node: str = "node", vector: str = "v") -> DataFrame:
@@ -130,13 +145,14 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, k: int = NEIGHBOURS, seed
     groups = max(1, n // WORK_GROUP)
     for _ in range(ROUNDS):
         both = graph.select(F.col("u").alias("w"), F.col("v").alias("x"), "new").union(graph.select(F.col("v").alias("w"), F.col("u").alias("x"), "new"))
-        both = both.groupBy("w", "x").agg(F.max("new").alias("new"))
+        both = both.repartition("w").groupBy("w", "x").agg(F.max("new").alias("new"))
         first = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("new"), F.xxhash64("x", "w", F.lit(seed))))
-        both = both.withColumn("_r", first).where(F.col("_r") <= 2 * k).drop("_r")
+        any_new = F.max("new").over(Window.partitionBy("w"))  # rows that have none make no pairs
+        both = both.withColumns({"_r": first, "_any": any_new}).where((F.col("_r") <= 2 * k) & F.col("_any")).drop("_r", "_any")
         most = graph.groupBy("u").agg(F.max("d").alias("_d"), F.count("*").alias("_c")).select("u", F.when(F.col("_c") < k, float("inf")).otherwise(F.col("_d")).alias("_most"))
         held = own.join(most, F.col("node") == F.col("u"), "left").select("node", "v", F.coalesce("_most", F.lit(float("inf"))).alias("most"))
         met = both.join(held, F.col("x") == F.col("node")).select("w", "x", "new", "most", "v", F.pmod(F.xxhash64("w"), F.lit(groups)).alias("_g"))
-        found = met.groupBy("_g").applyInArrow(_local, "u long, v long, d double")
+        found = met.groupBy("_g").applyInArrow(lambda t: _local(t, k), "u long, v long, d double")
         after = _best(graph.withColumn("new", F.lit(False)).union(found.select("u", "v", "d", F.lit(True).alias("new"))), k)
         before, graph = graph, scratch.table(after, "graph")
         changed = graph.where("new").count()
