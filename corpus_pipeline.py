@@ -8,9 +8,20 @@ from fathom.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from fathom.plans.scratch import Scratch
 from fathom.sources.tables import table
 
+#: A batch of whole rows is held by the JVM and by its Python worker, at the same time and for every core.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes, unless it has a bound already. Narrow rows keep their batches of 10,000."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
@@ -21,16 +32,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return near_dedup.survivors(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, with their digests."""
+    small_batches(spark)
     return bpe.tokens(docs)
 
 

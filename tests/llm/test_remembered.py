@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+import corpus_pipeline
 from fathom.llm import bpe, decontaminate, learning, near_dedup, quality, remembered
 
 
@@ -52,3 +53,37 @@ def test_large_batches_are_worked_through_in_pieces(spark):
     for make in (lambda d: bpe.encode_frame(d), lambda d: learning.scored(d, len)):
         sizes = batch_sizes(spark, make)
         assert sum(sizes) == 3000 and max(sizes) <= remembered.ROWS
+
+
+def test_stages_send_wide_rows_in_batches_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('a text of words ', 250) AS text")
+
+    def over(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        corpus_pipeline.token_stage(spark, docs, "")
+        sizes = [r["n"] for r in docs.mapInArrow(over, "n long").collect()]
+        spark.conf.set(key, "1000000")
+        corpus_pipeline.token_stage(spark, docs, "")
+        assert spark.conf.get(key) == "1000000"  # a bound of the session's own stays
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
+    assert sum(sizes) > 12_000_000 and max(sizes) < 1.2 * corpus_pipeline.BATCH_BYTES
+
+
+def test_quality_sends_a_text_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(3)], "doc_id long, text string, _c0 string")
+    sent = []
+    monkeypatch.setattr(quality, "train", lambda *_: quality.ftrl([(1, None, None)]))
+    real = learning.scored
+    monkeypatch.setattr(learning, "scored", lambda d, score: sent.append([c for c, t in d.dtypes if t == "string"]) or real(d, score))
+    out = quality.accepted(docs, docs, threshold=0.0)
+    assert len(sent[0]) == 2 and out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
