@@ -271,9 +271,10 @@ def within_budget(points: DataFrame, eps: float, budget: int = PAIR_BUDGET, node
     return radii[-1]
 
 
-def resolved_eps(points: DataFrame, requested: float | None = None, stored: float | None = None, min_samples: int = MIN_SAMPLES, budget: int = PAIR_BUDGET, node: str = "node") -> float:
+def resolved_eps(points: DataFrame, requested: float | None = None, stored: float | None = None, min_samples: int = MIN_SAMPLES, budget: int | None = None, node: str = "node") -> float:
     """Requested, else stored, else adaptive. A derived radius is at most a quarter of the layout's span; the least radius
-    holds for all, and so does the pair budget, last."""
+    holds for all. A pair budget, for callers that hold pairs, comes last; dbscan holds none, so by default there is none and
+    the radius does not shrink with the number of points."""
     given = requested if requested is not None else stored
     if not points.limit(1).count():
         return FALLBACK_EPS if given is None else given
@@ -282,4 +283,5 @@ def resolved_eps(points: DataFrame, requested: float | None = None, stored: floa
         eps = adaptive_eps(points, min_samples, node)
         if wide := span(points):
             eps = min(eps, SPAN_SHARE * wide)
-    return within_budget(points, max(eps, LEAST_EPS), budget, node)
+    eps = max(eps, LEAST_EPS)
+    return eps if budget is None else within_budget(points, eps, budget, node)
